@@ -7,7 +7,9 @@
 3. Ids join back by position: number -> word's ids. Decoding joins ids with the
    vocabulary's id-to-piece table (its size is the vocabulary's, never the data's).
 
-Only packed numbers and distinct words are shuffled, never a row per word.
+Only distinct words are shuffled, packed; documents wait in their page's file, so a
+worker holds one page's words and one chunk of texts. The input must give the same
+rows in the same order when a task is run again, as a stored table does.
 
 Edge cases: null text is empty; an empty text has no ids and decodes to ''. Null,
 repeated or tied ids are carried through, one output row per input row. Other input
@@ -16,6 +18,7 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +29,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Workspace, pack, pack_ints, pack_sorted, scale_parts, unpack, unpack_ints, unpack_sorted
+from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, unpack, unpack_ints, unpack_sorted, write_atomically
 from .wordbpe import default_vocabulary, encoder
 
 #: Words and distinct words after which a page is closed; they bound a worker's memory.
-PAGE_WORDS, PAGE_DISTINCT = 4_000_000, 400_000
+PAGE_WORDS, PAGE_DISTINCT = 4_000_000, 350_000
 #: Words after which the texts of a page are written as one row.
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 
 
 class _Page:
-    def __init__(self, number: int):
-        self.number, self.index, self.words = number, {}, 0
-        self.ids: list = []
-        self.counts: list[int] = []
-        self.at: list[np.ndarray] = []
-        self.held = 0
+    """Distinct words of a run of documents, and the documents as numbers of words.
+
+    The documents go to the page's own file in the shared folder, as Arrow chunks.
+    """
+
+    def __init__(self, number: int, uri: str, kind: pa.DataType):
+        self.number, self.uri, self.index, self.words = number, uri, {}, 0
+        self.schema = pa.schema([("ids", pa.list_(kind)), ("a", pa.binary()), ("b", pa.binary())])
+        self.chunks: list[pa.RecordBatch] = []
+        self._start()
+
+    def _start(self) -> None:
+        self.ids, self.counts, self.at, self.held = [], [], [], 0
 
     def add(self, doc_id, words: list[str]) -> None:
         index = self.index
@@ -54,61 +64,72 @@ class _Page:
         self.at.append(at)
         self.held += len(words)
         self.words += len(words)
-
-
-def _split_pages(path: str, buckets: int, schema: pa.Schema):
-    """Documents to the rows of their pages: kind 1 texts, kind 0 distinct words by bucket."""
-
-    def rows(cols: dict) -> pa.RecordBatch:
-        n = len(cols["page"])
-        return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
-
-    def chunk(page: _Page):
-        if not page.ids:
-            return
-        at = np.concatenate(page.at) if page.at else np.zeros(0, np.uint32)
-        yield rows({"kind": [1], "page": [page.number], "bucket": [-1], "ids": [page.ids], "a": [pack_ints(np.array(page.counts))], "b": [pack_ints(at)]})
-        page.ids, page.counts, page.at, page.held = [], [], [], 0
-
-    def close(page: _Page):
-        yield from chunk(page)
-        if not page.index:
-            return
+        if self.held >= CHUNK_WORDS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.ids:
+            cols = [pa.array([x], f.type) for x, f in zip((self.ids, pack_ints(np.array(self.counts)), pack_ints(np.concatenate(self.at))), self.schema, strict=True)]
+            self.chunks.append(pa.RecordBatch.from_arrays(cols, schema=self.schema))
+            self._start()
+
+    def save(self) -> None:
+        self.flush()
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, self.schema) as stream:
+            for chunk in self.chunks:
+                stream.write_batch(chunk)
+        write_atomically(self.uri, [out.getvalue()])
+        self.chunks = []
+
+
+def _split_pages(path: str, folder: str, buckets: int, schema: pa.Schema, kind: pa.DataType):
+    """Documents to the distinct words of their pages, a row for each page and bucket."""
+
+    def row(page: int, bucket: int, at: np.ndarray, words: list[str]) -> pa.RecordBatch:
+        values = (page, bucket, pack_sorted(at), pack("\n".join(words).encode()), None)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
+
+    def close(page: _Page) -> Iterator[pa.RecordBatch]:
+        page.save()
         words = list(page.index)
         own = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words)) % buckets
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(buckets + 1))
         for b in range(buckets):
             at = order[cuts[b] : cuts[b + 1]]
-            if len(at):
-                yield rows({"kind": [0], "page": [page.number], "bucket": [b], "a": [pack_sorted(at)], "b": [pack("\n".join([words[i] for i in at]).encode())]})
+            if len(at) or not words and not b:  # a page without words is named all the same
+                yield row(page.number, b, at, [words[i] for i in at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         split = encoder(path).words
-        base = TaskContext.get().partitionId() << 24
-        page = _Page(base)
+        number = TaskContext.get().partitionId() << 24
+        page = None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = page or _Page(number, _page_uri(folder, number), kind)
                 page.add(doc_id, split(text) if text else [])
-                if page.held >= CHUNK_WORDS:
-                    yield from chunk(page)
                 if page.words >= PAGE_WORDS or len(page.index) >= PAGE_DISTINCT:
                     yield from close(page)
-                    page = _Page(page.number + 1)
-            yield from chunk(page)
-        yield from close(page)
+                    page, number = None, number + 1
+        if page:
+            yield from close(page)
 
     return run
 
 
+def _page_uri(folder: str, number: int) -> str:
+    return f"{folder}/page-{number >> 24:06d}-{number & 0xFFFFFF:06d}.arrow"
+
+
 def _encode_bucket(path: str, schema: pa.Schema):
     """A bucket's words from all pages: each distinct one is encoded once."""
 
     def run(table: pa.Table) -> pa.Table:
         enc = encoder(path)
-        lists = [unpack(b).decode().split("\n") for b in table.column("b").to_pylist()]
+        lists = [raw.decode().split("\n") if (raw := unpack(b)) else [] for b in table.column("b").to_pylist()]
         distinct = list(set().union(*lists))
         known: dict[str, bytes] = {}
         for lo in range(0, len(distinct), 20_000):
@@ -118,10 +139,8 @@ def _encode_bucket(path: str, schema: pa.Schema):
         cols: dict[str, list] = {f.name: [] for f in schema}
         for page, slots, words in zip(table.column("page").to_pylist(), table.column("a").to_pylist(), lists, strict=True):
             found = [known[w] for w in words]
-            cols["kind"].append(0)
             cols["page"].append(page)
             cols["bucket"].append(None)
-            cols["ids"].append(None)
             cols["a"].append(slots)
             cols["b"].append(pack_ints(np.array([len(x) // size for x in found])))
             cols["c"].append(pack_ints(np.frombuffer(b"".join(found), enc.dtype)))
@@ -135,7 +154,6 @@ class _Words:
 
     def __init__(self, pieces: list[str]):
         self.pieces, self.parts = pieces, []
-        self.ready = False
 
     def add(self, slots: bytes, counts: bytes, ids: bytes) -> None:
         self.parts.append((unpack_sorted(slots), unpack_ints(counts), unpack_ints(ids)))
@@ -152,38 +170,46 @@ class _Words:
                 own = flat[lo:hi]
                 self.ids[slot], self.text[slot] = own, " ".join(map(piece, own))
                 lo = hi
-        self.parts, self.ready = [], True
-
-
-def _join_back(path: str, schema: pa.Schema):
-    """Sorted rows of pages, words first: documents get their ids and their decoded text."""
+        self.parts = []
+
+
+def _join_back(path: str, folder: str, schema: pa.Schema):
+    """Answers sorted by page: each page's documents get their ids and their decoded text."""
+
+    def texts(page: int, words: _Words) -> Iterator[pa.RecordBatch]:
+        words.finish()
+        fs, name = open_fs(_page_uri(folder, page))
+        with fs.open_input_stream(name) as file, pa.ipc.open_stream(file) as chunks:
+            for chunk in chunks:
+                yield documents(words, *(chunk.column(i)[0].as_py() for i in range(3)))
+
+    def documents(words: _Words, ids: list, counts: bytes, at: bytes) -> pa.RecordBatch:
+        at, lo = unpack_ints(at).tolist(), 0
+        flat: list[int] = []
+        ends, decoded = [0], []
+        for n in unpack_ints(counts).tolist():
+            own = at[lo : lo + n]
+            for x in map(words.ids.__getitem__, own):
+                flat += x
+            ends.append(len(flat))
+            decoded.append(" ".join(map(words.text.__getitem__, own)))
+            lo += n
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), lists.cast(schema.field(1).type), pa.array(decoded, pa.string())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         pieces = [enc.tokenizer.id_to_token(i) or "" for i in range(enc.tokenizer.get_vocab_size(with_added_tokens=True))]
         page, words = None, _Words(pieces)
         for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            for kind, number, ids, a, b, c in zip(*(cols[k] for k in ("kind", "page", "ids", "a", "b", "c")), strict=True):
+            for number, a, b, c in zip(*(batch.column(k).to_pylist() for k in ("page", "a", "b", "c")), strict=True):
                 if number != page:
+                    if page is not None:
+                        yield from texts(page, words)
                     page, words = number, _Words(pieces)
-                if kind == 0:
-                    words.add(a, b, c)
-                    continue
-                if not words.ready:
-                    words.finish()
-                at, lo = unpack_ints(b).tolist(), 0
-                flat: list[int] = []
-                ends, texts = [0], []
-                for n in unpack_ints(a).tolist():
-                    own = at[lo : lo + n]
-                    for x in map(words.ids.__getitem__, own):
-                        flat += x
-                    ends.append(len(flat))
-                    texts.append(" ".join(map(words.text.__getitem__, own)))
-                    lo += n
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), lists.cast(schema.field(1).type), pa.array(texts, pa.string())], schema=schema)
+                words.add(a, b, c)
+        if page is not None:
+            yield from texts(page, words)
 
     return run
 
@@ -195,18 +221,18 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces as the vocabulary file's missing decoder does: by one space.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType
     buckets = scale_parts(spark)
     ws = Workspace(spark, "bpe")
-    packed = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("page", T.LongType()), ("bucket", T.IntegerType()), ("ids", T.ArrayType(kind)), ("a", T.BinaryType()), ("b", T.BinaryType()), ("c", T.BinaryType()))])
+    packed = T.StructType([T.StructField(n, t) for n, t in (("page", T.LongType()), ("bucket", T.IntegerType()), ("a", T.BinaryType()), ("b", T.BinaryType()), ("c", T.BinaryType()))])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in packed])
-    pages = ws.table(docs.select(id_col, text_col).mapInArrow(_split_pages(path, buckets, arrow), packed), "pages")
-    words = pages.filter("kind = 0").groupBy("bucket").applyInArrow(_encode_bucket(path, arrow), packed)
-    texts = pages.filter("kind = 1")
-    dealt = words.unionByName(texts).repartition(buckets, "page").sortWithinPartitions("page", "kind")
+    words = docs.select(id_col, text_col).mapInArrow(_split_pages(path, ws.root, buckets, arrow, to_arrow_type(kind)), packed)
+    answers = words.groupBy("bucket").applyInArrow(_encode_bucket(path, arrow), packed)
+    dealt = answers.repartition(buckets, "page").sortWithinPartitions("page")
     out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return dealt.mapInArrow(_join_back(path, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])), out)
+    return dealt.mapInArrow(_join_back(path, ws.root, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

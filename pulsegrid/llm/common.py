@@ -74,7 +74,12 @@ def write_atomically(uri: str, chunks) -> int:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # another attempt's file is there, with the same bytes
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(part)
     return size
 
 
