@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_words
+from . import bpe_words, linededup, sstable
 
 QUERIES = {
     "op4_bpe_words": bpe_words.query,
+    "op5_sstable": sstable.query,
+    "op8_line_dedup": linededup.query,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": linededup.ORACLE,
+}
