@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe_words, linededup, sstable
+from . import bpe_words, langid, linededup, quality, sstable, warc
 
 QUERIES = {
+    "op3_quality": quality.query,
     "op4_bpe_words": bpe_words.query,
     "op5_sstable": sstable.query,
+    "op7_langid": langid.query,
     "op8_line_dedup": linededup.query,
+    "op10_warc_fixity": warc.query,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality": quality.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }
