@@ -17,7 +17,7 @@ import numpy as np
 
 #: Characters below this are left unchanged by composition and have stable classes.
 _LATIN_END = 0x250
-#: Words kept by a worker's cache before it is emptied.
+#: Words in each of a worker's two cache generations.
 CACHE_WORDS = 400_000
 
 
@@ -90,6 +90,7 @@ class WordEncoder(WordSplitter):
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word, by one call of the library."""
@@ -97,13 +98,19 @@ class WordEncoder(WordSplitter):
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
+        """Have all words in the cache; when it is full it becomes the older generation,
+        out of which words that are met again move back without being encoded again."""
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.cache.update(zip(part, self.encode_words(part), strict=True))
+            self.older, self.cache, new = self.cache, {}, words
+        known = new.intersection(self.older)
+        older, cache = self.older, self.cache
+        for w in known:
+            cache[w] = older[w]
+        rest = list(new.difference(known))
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            cache.update(zip(part, self.encode_words(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts (null: none) as little-endian integers of ``dtype``."""
