@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_words, langid, linededup, ngramjoin, quality, sstable, warc
+from . import bpe_words, chunkdedup, langid, linededup, ngramjoin, quality, sstable, warc
 
 QUERIES = {
     "op2_ngram_join": ngramjoin.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sstable": sstable.query,
     "op7_langid": langid.query,
     "op8_line_dedup": linededup.query,
+    "op9_chunk_dedup": chunkdedup.query,
     "op10_warc_fixity": warc.query,
 }
 
