@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_words, chunkdedup, langid, linededup, ngramjoin, quality, sstable, warc
+from . import bpe_words, chunkdedup, decontam, langid, linededup, ngramjoin, quality, sstable, warc
 
 QUERIES = {
+    "op1_decontamination": decontam.query,
     "op2_ngram_join": ngramjoin.query,
     "op3_quality": quality.query,
     "op4_bpe_words": bpe_words.query,
