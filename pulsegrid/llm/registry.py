@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_words, chunkdedup, decontam, langid, linededup, ngramjoin, quality, sstable, warc
+from . import bpe_words, chunkdedup, decontam, langid, linededup, ngramjoin, quality, sstable, suffixdedup, warc
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.query,
     "op4_bpe_words": bpe_words.query,
     "op5_sstable": sstable.query,
+    "op6_suffix_dedup": suffixdedup.query,
     "op7_langid": langid.query,
     "op8_line_dedup": linededup.query,
     "op9_chunk_dedup": chunkdedup.query,
