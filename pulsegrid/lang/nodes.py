@@ -164,6 +164,13 @@ class Dedup(Node):
     parts: tuple[Node, ...]
 
 
+@dataclass(frozen=True)
+class Gather(Node):
+    """Partial aggregates of several sources, all kept; an aggregation follows."""
+
+    parts: tuple[Node, ...]
+
+
 @dataclass(frozen=True)
 class Nothing(Node):
     """No series."""

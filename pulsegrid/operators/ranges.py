@@ -244,7 +244,7 @@ def _extended(fn: str, r: Ranged, grid: Grid, extra: int) -> DataFrame:
     total = F.col("tail.v") - F.col("used.v") + ((F.col("tail.c") - F.col("used.c")) if counter else N.d(0))
     sampled = (F.col("tail.t") - F.col("used.t")).cast("double")
     seconds = float(r.width // 1000)
-    covers = (F.col("used.t") <= edge) & ((end - F.col("tail.t")).cast("double") < gap)
+    covers = (F.col("used.t") <= edge) & ~F.isnan(gap) & ((end - F.col("tail.t")).cast("double") < gap)
     total = F.when(covers, total * N.divide(N.d(seconds), sampled / 1000.0)).otherwise(total)
     total = N.divide(total, N.d(seconds)) if fn == "xrate" else total
     return out.withColumn("v", F.when(F.col("far") & (F.col("n") < 3), N.d(0)).otherwise(total))

@@ -12,7 +12,7 @@ from ..errors import QueryError, UnsupportedExpression
 from ..functions import numeric as N
 from ..grid import Grid, Scalar, Vector, col, ref
 from ..lang.nodes import (
-    NAME, SET_OPS, SORTS, Aggregate, Binary, Call, Dedup, Node, Nothing, Number, Once, Paren, Remote, Select, Subquery, Text, Unary, Unique, UserNode, Window, kind,
+    NAME, SET_OPS, SORTS, Aggregate, Binary, Call, Dedup, Gather, Node, Nothing, Number, Once, Paren, Remote, Select, Subquery, Text, Unary, Unique, UserNode, Window, kind,
 )
 from ..operators import aggregate as agg
 from ..operators import binary, labels, ranges
@@ -80,6 +80,8 @@ class Evaluator:
             return self.remote(node, grid)
         if isinstance(node, Dedup):
             return self.dedup(node, grid)
+        if isinstance(node, Gather):
+            return self.gather(node, grid)
         if isinstance(node, Nothing):
             return Vector(self.spark.createDataFrame([], ", ".join([*(f"`{col(x)}` string" for x in node.labels), "step long", "v double"])), node.labels)
         if isinstance(node, UserNode):
@@ -259,6 +261,13 @@ class Evaluator:
             return self.vector(Nothing(), grid)
         return other.vector(node.expr, own)
 
+    def gather(self, node: Gather, grid: Grid) -> Vector:
+        parts = [self.vector(p, grid) for p in node.parts]
+        names, hist = tuple(sorted(set().union(*(p.labels for p in parts)))), any(p.hist for p in parts)
+        if hist:
+            parts = [histograms.with_hist(p) for p in parts]
+        return Vector(reduce(lambda a, b: a.unionByName(b), [p.aligned(names, hist) for p in parts]), names, hist, False, False)
+
     def dedup(self, node: Dedup, grid: Grid) -> Vector:
         """Union of sources; the last one that has a series at a step wins, as a unit."""
         parts = [self.vector(p, grid) for p in node.parts]
