@@ -19,6 +19,8 @@ import numpy as np
 _LATIN_END = 0x250
 #: Words in each of a worker's two cache generations.
 CACHE_WORDS = 400_000
+#: Words that go to the library as one text.
+LINE = 300
 
 
 def default_vocabulary() -> str:
@@ -89,13 +91,36 @@ class WordEncoder(WordSplitter):
         super().__init__(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self._ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)]) if suffix else None
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian ids of each word, by one call of the library."""
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        """Little-endian ids of each word.
+
+        Plain words go to the library joined by spaces, LINE at a time: it splits them
+        again, and every word's last piece carries the vocabulary's word-end mark. Where
+        the ends don't add up, and for all other words, each word goes by itself.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w not in self.added and self._plain.fullmatch(w)] if self._ends is not None else []
+        lines = [plain[lo : lo + LINE] for lo in range(0, len(plain), LINE)]
+        found = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in line]) for line in lines], add_special_tokens=False) if lines else []
+        size = self.dtype.itemsize
+        for line, e in zip(lines, found, strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * size
+            if len(ends) == len(line) and ends[-1] == ids.nbytes:
+                raw, lo = ids.tobytes(), 0
+                for i, hi in zip(line, ends.tolist(), strict=True):
+                    out[i] = raw[lo:hi]
+                    lo = hi
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return out
 
     def _fill(self, words: set[str]) -> None:
         """Have all words in the cache; when it is full it becomes the older generation,
