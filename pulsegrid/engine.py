@@ -20,9 +20,14 @@ from .plans import rules as R
 from .plans.evaluate import Evaluator, checked
 
 
+def shown(label: str) -> str:
+    """Result column of a label: its own name, unless that is a value's."""
+    return f"l_{label}" if label in ("step", "v", "h") else label
+
+
 @dataclass
 class Result:
-    """A query's answer: ``df`` has label columns without prefix, ``step`` (epoch ms) and ``v`` (and ``h``).
+    """A query's answer: ``df`` has label columns (see ``shown``), ``step`` (epoch ms) and ``v`` (and ``h``).
 
     kind is matrix, vector, scalar or string. A string has no table but ``text``.
     """
@@ -47,7 +52,7 @@ class Result:
         """For small results: label pairs (absent ones left out) to points in time order."""
         out: dict = {}
         for r in self.collect():
-            key = tuple((n, r[n]) for n in self.labels if r[n])
+            key = tuple((n, r[shown(n)]) for n in self.labels if r[shown(n)])
             out.setdefault(key, []).append((r["step"], r["v"] if r["v"] is not None else r["h"]))
         return {k: sorted(v, key=lambda p: p[0]) for k, v in out.items()}
 
@@ -124,13 +129,13 @@ class MetricsEngine:
             out = Vector(df.select("step", v.alias("v")), ())
         else:
             out = checked(ev.vector(plan, grid))
-        df = out.df.select(*[ref(n).alias(n) for n in out.labels], "step", *out.value)
+        df = out.df.select(*[ref(n).alias(shown(n)) for n in out.labels], "step", *out.value)
         return Result(form, df, out.labels, ev.warnings, plan)
 
     def _ordered(self, r: Result, root: Node) -> Result:
         """Order of an instant result, where the query asks for one."""
-        prefixed = lambda: r.df.select(*[F.col(f"`{n}`").alias(f"l_{n}") for n in r.labels], "step", *[c for c in ("v", "h") if c in r.df.columns])
-        back = lambda df: df.select(*[ref(n).alias(n) for n in r.labels], *[c for c in df.columns if c in ("step", "v", "h")])
+        prefixed = lambda: r.df.select(*[F.col(f"`{shown(n)}`").alias(f"l_{n}") for n in r.labels], "step", *[c for c in ("v", "h") if c in r.df.columns])
+        back = lambda df: df.select(*[ref(n).alias(shown(n)) for n in r.labels], *[c for c in df.columns if c in ("step", "v", "h")])
         if isinstance(root, Call) and root.fn in SORTS:
             df = prefixed()
             df = df.filter("h IS NULL").drop("h") if "h" in df.columns else df

@@ -69,10 +69,10 @@ _SIMPLE = {
 
 #: What accumulates along a series, so that a window's total is a difference of two samples.
 _RUNNING = {
-    "rate": lambda v, p: F.when(v < p, p).otherwise(N.d(0)),
-    "increase": lambda v, p: F.when(v < p, p).otherwise(N.d(0)),
+    "rate": lambda v, p: F.when(N.compare("<", v, p), p).otherwise(N.d(0)),
+    "increase": lambda v, p: F.when(N.compare("<", v, p), p).otherwise(N.d(0)),
     "changes": lambda v, p: F.when((v != p) & ~(F.isnan(v) & F.isnan(p)), F.lit(1)).otherwise(F.lit(0)),
-    "resets": lambda v, p: F.when((v < p) & ~F.isnan(p), F.lit(1)).otherwise(F.lit(0)),
+    "resets": lambda v, p: F.when(N.compare("<", v, p), F.lit(1)).otherwise(F.lit(0)),
 }
 
 
@@ -130,7 +130,7 @@ def _last_two(fn: str, r: Ranged, grid: Grid) -> DataFrame:
     diff = F.col("x.v") - F.col("x.pv")
     if fn == "idelta":
         return out.withColumn("v", diff)
-    diff = F.when(F.col("x.v") < F.col("x.pv"), F.col("x.v")).otherwise(diff)
+    diff = F.when(N.compare("<", F.col("x.v"), F.col("x.pv")), F.col("x.v")).otherwise(diff)
     return out.withColumn("v", diff / ((F.col("x.t") - F.col("x.pt")) / 1000.0))
 
 
@@ -215,7 +215,7 @@ def _extended(fn: str, r: Ranged, grid: Grid, extra: int) -> DataFrame:
     df = df.withColumn("appeared", F.min("t").over(W.partitionBy(*labels)))
     # Also how often the value changed so far: none within a span of samples means all are equal.
     df = df.withColumn("__p", F.lag("v").over(W.partitionBy(*labels).orderBy("t")))
-    changed = F.when(F.col("__p").isNull() | (F.col("v") == F.col("__p")), 0).otherwise(1)
+    changed = F.when(F.col("__p").isNull() | N.compare("==", F.col("v"), F.col("__p")), 0).otherwise(1)
     df = df.withColumn("k", F.sum(changed).over(W.partitionBy(*labels).orderBy("t").rowsBetween(W.unboundedPreceding, 0))).drop("__p")
     df = windows(df, grid, r.width + extra, r.offset)
     edge = F.col("step") - (r.width + r.offset)

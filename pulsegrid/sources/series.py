@@ -63,8 +63,8 @@ class FrameSource:
     time filter is added here.
     """
 
-    def __init__(self, df: DataFrame, name: str | None = None, bounds: Callable[[int, int], Column] | None = None):
-        self.df, self.name, self.bounds = df, name, bounds
+    def __init__(self, df: DataFrame, name: str | None = None, bounds: Callable[[int, int], Column] | None = None, stored: Mapping[str, str] | None = None):
+        self.df, self.name, self.bounds, self.stored = df, name, bounds, dict(stored or {})
         labels = [c[2:] for c in df.columns if c.startswith("l_")]
         self.labels = tuple(sorted({*labels, *([NAME] if name is not None else [])}))
         self.hist, self.stale = "h" in df.columns, "stale" in df.columns
@@ -72,6 +72,16 @@ class FrameSource:
     def may_have(self, matchers: Iterable[Matcher]) -> bool:
         return self.name is None or all(admits(m, self.name) for m in matchers if m.label == NAME)
 
+    def _stored_equal(self, m: Matcher) -> Column | None:
+        """An equality on the stored column, which files can be pruned by; the exact matcher follows."""
+        name = self.stored[m.label]
+        kind = self.df.schema[name].dataType.typeName()
+        if kind == "string":
+            return F.col(name) == m.value
+        if kind in ("long", "integer", "short", "byte") and re.fullmatch(r"-?[1-9]\d{0,17}|0", m.value):
+            return F.col(name) == int(m.value)
+        return None
+
     def scan(self, matchers: Iterable[Matcher], low: int, high: int) -> Samples:
         matchers = list(matchers)
         df = self.df
@@ -84,6 +94,8 @@ class FrameSource:
             if m.label == NAME and self.name is not None:
                 continue
             if m.label in self.labels:
+                if m.op == "=" and m.value and m.label in self.stored and (same := self._stored_equal(m)) is not None:
+                    df = df.filter(same)
                 df = df.filter(passes(m, ref(m.label)))
             elif not admits(m, ""):
                 df = df.filter(F.lit(False))
@@ -147,7 +159,8 @@ def from_table(df: DataFrame, name: str | None, labels: Mapping[str, str | Colum
     cols = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")).alias(col(x)) for x, c in labels.items()]
     v = F.col(value) if isinstance(value, str) else value
     more = [(F.col(c) if isinstance(c, str) else c).alias(x) for x, c in extra.items()]
-    out = df.select(*cols, t.alias("t"), v.cast("double").alias("v"), *more, F.col(time).alias("__stored"))
+    stored = {x: f"__stored_{x}" for x, c in labels.items() if isinstance(c, str)}
+    out = df.select(*cols, t.alias("t"), v.cast("double").alias("v"), *more, F.col(time).alias("__stored"), *[F.col(labels[x]).alias(c) for x, c in stored.items()])
 
     def bounds(low: int, high: int) -> Column:
         if not stamp:
@@ -157,7 +170,7 @@ def from_table(df: DataFrame, name: str | None, labels: Mapping[str, str | Colum
         safe = lambda ms: max(-62_000_000_000_000, min(ms, 250_000_000_000_000))
         return (F.col("__stored") >= at(safe(low))) & (F.col("__stored") <= at(safe(high + 1)))
 
-    return FrameSource(out, name, bounds)
+    return FrameSource(out, name, bounds, stored)
 
 
 def parquet_series(spark: SparkSession, path: str, name: str | None, labels: Mapping[str, str], time: str, value: str) -> FrameSource:
