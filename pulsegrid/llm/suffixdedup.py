@@ -45,7 +45,7 @@ from .suffixsort import _BASE, _BYTE, Suffixes
 
 #: Bytes of a string; of a k-gram; of a page; worked on at once; windows sorted at once.
 WIDTH, GRAM = 50, 20
-PAGE_BYTES, SLICE_BYTES, SORT_WINDOWS = 16 << 20, 1 << 19, 1 << 20
+PAGE_BYTES, SLICE_BYTES, SORT_WINDOWS = 8 << 20, 1 << 19, 1 << 19
 #: Units of one anchor after which their windows are dealt one by one.
 WIDE_ANCHOR = 20_000
 
@@ -415,7 +415,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, n_bytes, spans, kept)``: removed byte ranges and the remaining bytes of each document."""
     spark = docs.sparkSession
     small_batches(spark, 256)
-    parts = scale_parts(spark)
+    parts = 2 * scale_parts(spark)  # two fragments a partition: a task works on one at a time
     folder = Workspace(spark, "suffixes").root
     by_fragment = ["frag", F.when(F.col("frag") < 0, F.col("page")).alias("own")]  # rows that only name a page stay apart
     units = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pages(folder, parts), _DDL)
