@@ -70,7 +70,7 @@ def write_atomically(uri: str, chunks) -> int:
     fs, path = open_fs(uri)
     part = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
     size = 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

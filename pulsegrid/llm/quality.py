@@ -13,8 +13,9 @@ and a salt, so a host with a third of all rows is many tasks.
 
 Edge cases: null text has no words and fails; null hosts are one host; documents are
 counted as often as they come; an empty table gives an empty result. Prior: with fewer
-than two hosts, or host rates that vary no more than chance, the prior is the corpus
-rate with the weight of ``PRIOR_DOCS`` documents.
+than two hosts, or equal rates of all, the prior is the corpus rate with the weight of
+``PRIOR_DOCS`` documents; hosts that differ more than a beta distribution allows leave
+it the weight of one document.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def host_verdicts(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE) ->
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), (F.sum("host_failed") / F.sum("host_docs")).alias("p"))
-    weight = F.when((F.col("v") > 0) & (F.col("v") < F.col("m") * (1 - F.col("m"))), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)
+    weight = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)))
     prior = prior.select(F.coalesce(weight, F.lit(PRIOR_DOCS)).alias("weight"), F.when(weight.isNotNull(), F.col("m")).otherwise(F.col("p")).alias("centre"))
     shrunk = (F.col("host_failed") + F.col("centre") * F.col("weight")) / (F.col("host_docs") + F.col("weight"))
     # The prior is one row: an aggregate without keys.
@@ -156,8 +157,8 @@ judged AS (
 hosts AS (
   SELECT source, count(*) AS docs, sum(CAST(base_failed AS INT)) AS failed FROM judged GROUP BY source),
 prior AS (
-  SELECT CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 100.0 END AS weight,
-         CASE WHEN v > 0 AND v < m * (1 - m) THEN m ELSE p END AS centre
+  SELECT CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 100.0 END AS weight,
+         CASE WHEN v > 0 THEN m ELSE p END AS centre
   FROM (SELECT avg(failed / docs) AS m, var_samp(failed / docs) AS v, sum(failed) / sum(docs) AS p FROM hosts))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND (failed + centre * weight) / (docs + weight) <= 0.5) AS kept

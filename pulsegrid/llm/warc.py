@@ -116,7 +116,7 @@ def hash_trees(manifest: DataFrame, folder: str) -> DataFrame:
         ranges = [(a, a + n) for a, n in zip(table.column("start").to_pylist(), table.column("length").to_pylist(), strict=True)]
         fs, path = open_fs(f"{folder}/{name}")
         try:
-            with fs.open_input_stream(path) as file:
+            with fs.open_input_stream(path, compression=None) as file:  # by default a name in .gz is decompressed
                 leaves = [_leaf(lo, hi, file.read(hi - lo)) for lo, hi in ranges]
         except FileNotFoundError:
             leaves = [_leaf(lo, hi, b"") for lo, hi in ranges]
