@@ -235,3 +235,13 @@ def test_cuts_resist_shifts():
     moved = np.concatenate((data[:1000], np.frombuffer(b"inserted", np.uint8), data[1000:]))
     a, b = set(chunkdedup.cut_places(data)), set(chunkdedup.cut_places(moved))
     assert {x for x in a if x < 900} <= b and len({x + 8 for x in a if x > 1200} - b) <= 3
+
+
+def test_kin_of_one_edited_place(spark, tmp_path):
+    """Many documents that differ from one text in the first, or the last, word only: two dense clusters."""
+    base = [f"k{i}" for i in range(15)]
+    rows = [(i, " ".join([f"first{i}", *base[1:]]), None, None) for i in range(30)] + [(100 + i, " ".join([*base[:-1], f"last{i}"]), None, None) for i in range(30)]
+    rows += [(200 + i, " ".join([*base[:7], f"mid{i}", *base[8:]]), None, None) for i in range(5)] + [(300, " ".join(base), None, None)]
+    for n, percent in ((5, 80), (3, 90), (3, 85), (2, 70)):
+        found = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / f"d{n}{percent}"), n=n, percent=percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.documents.collect()} == brute_components(rows, n, percent)
