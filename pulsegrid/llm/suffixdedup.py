@@ -58,7 +58,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     for k in (1, 2, 4, 8):
         h = held[k]
         held[2 * k] = h[:-k] * power[k] + h[k:] if len(h) > k else h[:0]
-        power[2 * k] = power[k] * power[k]
+        power[2 * k] = np.uint64(int(power[k]) ** 2 & 0xFFFFFFFFFFFFFFFF)
     n = max(0, len(data) - GRAM + 1)
     h = held[16][:n] * power[4] + held[4][16 : 16 + n]
     h ^= h >> np.uint64(31)
@@ -311,6 +311,17 @@ def _ask(folder: str, fragments: int):
     return run
 
 
+def _met_again(keys: np.ndarray) -> np.ndarray:
+    """Which keys are there twice or more."""
+    order = np.argsort(keys)
+    k = keys[order]
+    equal = k[1:] == k[:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][equal]] = True
+    out[order[:-1][equal]] = True
+    return out
+
+
 def _sorted_windows(table: pa.Table) -> pa.Table:
     """A fragment's pieces of text: their windows, sorted as suffixes; windows of larger documents in a run of equal ones."""
     if int(table.column("frag")[0].as_py()) < 0:
@@ -354,7 +365,13 @@ def _sorted_windows(table: pa.Table) -> pa.Table:
         at = np.cumsum(size) - size
         take = np.repeat(base[used] - at, size) + np.arange(size.sum())
         suffixes = Suffixes(text[take], WIDTH)
-        order, same = suffixes.sort(at[np.searchsorted(used, of)] + j, group)
+        where = at[np.searchsorted(used, of)] + j
+        # A window whose hash no other of its group has can't repeat; the others are sorted.
+        twin = _met_again(suffixes.hashes(where) ^ (group.astype(np.uint64) * _BASE))
+        of, j, group, where = of[twin], j[twin], group[twin], where[twin]
+        if not len(of):
+            continue
+        order, same = suffixes.sort(where, group)
         starts = np.flatnonzero(~same)
         d = doc[of[order]]
         least = np.minimum.reduceat(d, starts)

@@ -36,6 +36,10 @@ class Suffixes:
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[text] * self.power[:n], out=self.prefix[1:])
 
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hash of the ``depth`` bytes at each place."""
+        return (self.prefix[at + self.depth] - self.prefix[at]) * self.power[len(self.text) - at]
+
     def equal(self, a: np.ndarray, b: np.ndarray, length) -> np.ndarray:
         """Whether the pieces of this length at a and b have equal hashes."""
         n = len(self.text)
