@@ -34,19 +34,28 @@ class Ranged:
 
 
 def _state() -> dict[str, tuple[Column, Column]]:
-    """State of a bucket of samples: column -> (of one sample, merged)."""
+    """State of a bucket of samples: column -> (of one sample, merged).
+
+    Fixed-width columns, not structs: so Spark aggregates by hash, without a sort.
+    """
     return {
         "n": (F.lit(1).cast("long"), F.sum("n")),
         "s": (F.col("v"), F.sum("s")),
         "lo": (F.col("v"), F.min("lo")),
         "hi": (N.not_nan(F.col("v")), F.max("hi")),
-        "first": (F.struct("t", "v", "c"), F.min_by("first", "first.t")),
-        "last": (F.struct("t", "v", "c"), F.max_by("last", "last.t")),
+        "first_t": (F.col("t"), F.min("first_t")),
+        "first_v": (F.col("v"), F.min_by("first_v", "first_t")),
+        "first_c": (F.col("c"), F.min_by("first_c", "first_t")),
+        "last_t": (F.col("t"), F.max("last_t")),
+        "last_v": (F.col("v"), F.max_by("last_v", "last_t")),
+        "last_c": (F.col("c"), F.max_by("last_c", "last_t")),
         "top": (F.when(~F.isnan("v"), F.struct(F.col("v"), F.col("t"))), F.max("top")),
         "low": (F.when(~F.isnan("v"), F.struct((-F.col("v")).alias("v"), F.col("t"))), F.max("low")),
     }
 
 
+_ENDS = ("n", "first_t", "first_v", "first_c", "last_t", "last_v", "last_c")
+
 #: Functions of mergeable state: columns they need, and their value from them.
 _SIMPLE = {
     "sum_over_time": (("s",), lambda: F.col("s")),
@@ -54,17 +63,17 @@ _SIMPLE = {
     "min_over_time": (("lo",), lambda: F.col("lo")),
     "max_over_time": (("hi",), lambda: F.coalesce(F.col("hi"), N.nan())),
     "present_over_time": (("n",), lambda: N.d(1)),
-    "last_over_time": (("last",), lambda: F.col("last.v")),
-    "first_over_time": (("first",), lambda: F.col("first.v")),
-    "ts_of_first_over_time": (("first",), lambda: F.col("first.t") / 1000.0),
-    "ts_of_last_over_time": (("last",), lambda: F.col("last.t") / 1000.0),
-    "ts_of_max_over_time": (("top", "last"), lambda: F.coalesce(F.col("top.t"), F.col("last.t")) / 1000.0),
-    "ts_of_min_over_time": (("low", "last"), lambda: F.coalesce(F.col("low.t"), F.col("last.t")) / 1000.0),
-    "changes": (("first", "last"), lambda: (F.col("last.c") - F.col("first.c")).cast("double")),
-    "resets": (("first", "last"), lambda: (F.col("last.c") - F.col("first.c")).cast("double")),
-    "rate": (("n", "first", "last"), None),
-    "increase": (("n", "first", "last"), None),
-    "delta": (("n", "first", "last"), None),
+    "last_over_time": (("last_t", "last_v"), lambda: F.col("last_v")),
+    "first_over_time": (("first_t", "first_v"), lambda: F.col("first_v")),
+    "ts_of_first_over_time": (("first_t",), lambda: F.col("first_t") / 1000.0),
+    "ts_of_last_over_time": (("last_t",), lambda: F.col("last_t") / 1000.0),
+    "ts_of_max_over_time": (("top", "last_t"), lambda: F.coalesce(F.col("top.t"), F.col("last_t")) / 1000.0),
+    "ts_of_min_over_time": (("low", "last_t"), lambda: F.coalesce(F.col("low.t"), F.col("last_t")) / 1000.0),
+    "changes": (("first_t", "first_c", "last_t", "last_c"), lambda: (F.col("last_c") - F.col("first_c")).cast("double")),
+    "resets": (("first_t", "first_c", "last_t", "last_c"), lambda: (F.col("last_c") - F.col("first_c")).cast("double")),
+    "rate": (_ENDS, None),
+    "increase": (_ENDS, None),
+    "delta": (_ENDS, None),
 }
 
 #: What accumulates along a series, so that a window's total is a difference of two samples.
@@ -87,14 +96,14 @@ def _along(df: DataFrame, labels: list[str], rule) -> DataFrame:
 def extrapolated(fn: str, width: int, offset: int) -> tuple[Column, Column]:
     """(keep, value) of rate, increase or delta from the state n, first, last."""
     counter = fn != "delta"
-    raw = F.col("last.v") - F.col("first.v") + ((F.col("last.c") - F.col("first.c")) if counter else N.d(0))
-    sampled = (F.col("last.t") - F.col("first.t")) / 1000.0
+    raw = F.col("last_v") - F.col("first_v") + ((F.col("last_c") - F.col("first_c")) if counter else N.d(0))
+    sampled = (F.col("last_t") - F.col("first_t")) / 1000.0
     mean = sampled / (F.col("n") - 1)
-    to_start = (F.col("first.t") - (F.col("step") - (width + offset))) / 1000.0
-    to_end = (F.col("step") - offset - F.col("last.t")) / 1000.0
+    to_start = (F.col("first_t") - (F.col("step") - (width + offset))) / 1000.0
+    to_end = (F.col("step") - offset - F.col("last_t")) / 1000.0
     to_start = F.when(to_start >= mean * 1.1, mean / 2).otherwise(to_start)
     if counter:
-        zero = F.when((raw > 0) & ~F.isnan(raw) & (F.col("first.v") >= 0), sampled * N.divide(F.col("first.v"), raw))
+        zero = F.when((raw > 0) & ~F.isnan(raw) & (F.col("first_v") >= 0), sampled * N.divide(F.col("first_v"), raw))
         to_start = F.when(zero < to_start, zero).otherwise(to_start)
     to_end = F.when(to_end >= mean * 1.1, mean / 2).otherwise(to_end)
     factor = N.divide(sampled + to_start + to_end, sampled)
@@ -125,13 +134,13 @@ def _last_two(fn: str, r: Ranged, grid: Grid) -> DataFrame:
     labels = [col(x) for x in r.labels]
     order = W.partitionBy(*labels).orderBy("t")
     df = r.df.withColumn("pt", F.lag("t").over(order)).withColumn("pv", F.lag("v").over(order))
-    out = windows(df, grid, r.width, r.offset).groupBy(*labels, "step").agg(F.max_by(F.struct("t", "v", "pt", "pv"), "t").alias("x"))
-    out = out.filter(F.col("x.pt") > F.col("step") - (r.width + r.offset))
-    diff = F.col("x.v") - F.col("x.pv")
+    out = windows(df, grid, r.width, r.offset).groupBy(*labels, "step").agg(F.max("t").alias("xt"), *[F.max_by(c, "t").alias(f"x{c}") for c in ("v", "pt", "pv")])
+    out = out.filter(F.col("xpt") > F.col("step") - (r.width + r.offset))
+    diff = F.col("xv") - F.col("xpv")
     if fn == "idelta":
         return out.withColumn("v", diff)
-    diff = F.when(N.compare("<", F.col("x.v"), F.col("x.pv")), F.col("x.v")).otherwise(diff)
-    return out.withColumn("v", diff / ((F.col("x.t") - F.col("x.pt")) / 1000.0))
+    diff = F.when(N.compare("<", F.col("xv"), F.col("xpv")), F.col("xv")).otherwise(diff)
+    return out.withColumn("v", diff / ((F.col("xt") - F.col("xpt")) / 1000.0))
 
 
 def _moments(fn: str, r: Ranged, grid: Grid) -> DataFrame:

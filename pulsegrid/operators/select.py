@@ -57,9 +57,8 @@ def instant(source, select: Select, grid: Grid, options: Options) -> Vector:
         df = spread(df, own, first_step(F.col("t"), own, select.offset), until)
         df = df.select(*[ref(x) for x in found.labels], "step", "t", *carried)
     else:
-        newest = F.max_by(F.struct("t", *carried), "t")
-        df = windows(found.df, own, width, select.offset).groupBy(*labels, "step").agg(newest.alias("x"))
-        df = df.select(*[ref(x) for x in found.labels], "step", *[F.col(f"x.{c}").alias(c) for c in ("t", *carried)])
+        newest = [F.max("t").alias("__t"), *[F.max_by(c, "t").alias(c) for c in carried]]
+        df = windows(found.df, own, width, select.offset).groupBy(*labels, "step").agg(*newest).withColumnRenamed("__t", "t")
     if found.stale:
         df = df.filter("NOT coalesce(stale, false)")
     hist = found.hist

@@ -81,8 +81,6 @@ QUERIES = [
 @pytest.mark.parametrize("lookback", [300_000, 60_000])
 @pytest.mark.parametrize("query", QUERIES)
 def test_range_against_oracle(spark, mixed, query, lookback):
-    if lookback == 60_000 and hash(query) % 3 and "over_time" in query:
-        pytest.skip("windows don't depend on the lookback")
     source, data = mixed
     want = Oracle(data, lookback).run(parse(query), 0, 900_000, 45_000)
     got = MetricsEngine(spark, source, Options(lookback=lookback)).range(query, 0, 900_000, 45_000).series()
