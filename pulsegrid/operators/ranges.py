@@ -12,6 +12,7 @@ from ..errors import UnsupportedExpression
 from ..functions import numeric as N
 from ..grid import Grid, Scalar, Vector, col, ref
 from ..lang.nodes import RESERVED
+from .along import accumulated, previous
 from .window import bucket_end, grain, windows
 
 KEEPS_NAME = ("last_over_time", "first_over_time")
@@ -29,6 +30,8 @@ class Ranged:
     width: int
     offset: int
     from_subquery: bool = False
+    #: Cut of long series, see ``along``.
+    chunk: int = 0
     #: Names are kept through sub-expressions whose series are unique.
     unique: bool = True
 
@@ -85,14 +88,6 @@ _RUNNING = {
 }
 
 
-def _along(df: DataFrame, labels: list[str], rule) -> DataFrame:
-    """Column c: the running sum of ``rule(v, previous v)`` along each series."""
-    order = W.partitionBy(*labels).orderBy("t")
-    p = F.lag("v").over(order)
-    df = df.withColumn("__p", p).withColumn("__r", F.when(F.col("__p").isNull(), 0).otherwise(rule(F.col("v"), F.col("__p"))))
-    return df.withColumn("c", F.sum("__r").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("__p", "__r")
-
-
 def extrapolated(fn: str, width: int, offset: int) -> tuple[Column, Column]:
     """(keep, value) of rate, increase or delta from the state n, first, last."""
     counter = fn != "delta"
@@ -114,7 +109,7 @@ def extrapolated(fn: str, width: int, offset: int) -> tuple[Column, Column]:
 def _mergeable(fn: str, r: Ranged, grid: Grid) -> DataFrame:
     needs, value = _SIMPLE[fn]
     labels = [col(x) for x in r.labels]
-    df = _along(r.df, labels, _RUNNING[fn]) if fn in _RUNNING else r.df.withColumn("c", F.lit(0))
+    df = accumulated(r.df, labels, _RUNNING[fn], "c", r.chunk) if fn in _RUNNING else r.df.withColumn("c", F.lit(0))
     size = grain(grid, r.width)
     parts = _state()
     merge = [parts[k][1].alias(k) for k in needs]
@@ -132,8 +127,7 @@ def _mergeable(fn: str, r: Ranged, grid: Grid) -> DataFrame:
 def _last_two(fn: str, r: Ranged, grid: Grid) -> DataFrame:
     """irate and idelta: the last two samples of the window."""
     labels = [col(x) for x in r.labels]
-    order = W.partitionBy(*labels).orderBy("t")
-    df = r.df.withColumn("pt", F.lag("t").over(order)).withColumn("pv", F.lag("v").over(order))
+    df = previous(r.df, labels, {"pt": "t", "pv": "v"}, r.chunk)
     out = windows(df, grid, r.width, r.offset).groupBy(*labels, "step").agg(F.max("t").alias("xt"), *[F.max_by(c, "t").alias(f"x{c}") for c in ("v", "pt", "pv")])
     out = out.filter(F.col("xpt") > F.col("step") - (r.width + r.offset))
     diff = F.col("xv") - F.col("xpv")
@@ -220,12 +214,11 @@ def _extended(fn: str, r: Ranged, grid: Grid, extra: int) -> DataFrame:
     """xrate, xincrease, xdelta: the window and the last sample before it, not extrapolated."""
     labels = [col(x) for x in r.labels]
     counter, plain = fn != "xdelta", fn == "xincrease"
-    df = _along(r.df, labels, _RUNNING["rate"])
-    df = df.withColumn("appeared", F.min("t").over(W.partitionBy(*labels)))
+    df = accumulated(r.df, labels, _RUNNING["rate"], "c", r.chunk)
     # Also how often the value changed so far: none within a span of samples means all are equal.
-    df = df.withColumn("__p", F.lag("v").over(W.partitionBy(*labels).orderBy("t")))
-    changed = F.when(F.col("__p").isNull() | N.compare("==", F.col("v"), F.col("__p")), 0).otherwise(1)
-    df = df.withColumn("k", F.sum(changed).over(W.partitionBy(*labels).orderBy("t").rowsBetween(W.unboundedPreceding, 0))).drop("__p")
+    df = accumulated(df, labels, lambda v, p: F.when(N.compare("==", v, p), 0).otherwise(1), "k", r.chunk)
+    born = r.df.groupBy(*labels).agg(F.min("t").alias("appeared"))
+    df = df.join(born, labels, "left") if labels else df.crossJoin(F.broadcast(born))
     df = windows(df, grid, r.width + extra, r.offset)
     edge = F.col("step") - (r.width + r.offset)
     x = F.struct("t", "v", "c", "k")

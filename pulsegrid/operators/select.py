@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..grid import Grid, Vector, col, ref
 from ..lang.nodes import NAME, Select
 from ..options import Options
 from ..sources.series import Samples, passes
+from .along import next_time
 from .window import first_step, last_step, spread, windows
 
 #: A lookback of more steps than this is done by each sample's successor, not by copies.
@@ -51,8 +51,7 @@ def instant(source, select: Select, grid: Grid, options: Options) -> Vector:
     carried = ["v", *(["h"] if found.hist else []), *(["stale"] if found.stale else [])]
     if own.count > 1 and width > COPIES * own.step:
         # A sample holds from its own step until its successor's, or until it is too old.
-        later = F.lead("t").over(W.partitionBy(*labels).orderBy("t"))
-        df = found.df.withColumn("__later", later)
+        df = next_time(found.df, labels, "__later", options.series_chunk)
         until = F.least(last_step(F.col("t"), own, select.offset, width), F.coalesce(first_step(F.col("__later"), own, select.offset) - 1, F.lit(own.count).cast("long")))
         df = spread(df, own, first_step(F.col("t"), own, select.offset), until)
         df = df.select(*[ref(x) for x in found.labels], "step", "t", *carried)

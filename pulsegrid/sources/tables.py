@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.along import running
 from .series import Catalog, FrameSource, from_table
 
+#: Running sums are taken a week at a time: a counter over all events isn't one task.
+CHUNK = 604_800_000_000
 #: Upper bounds of the classic histogram's buckets.
 BOUNDS = ("1", "5", "10", "50", "100", "500", "+Inf")
 
@@ -22,25 +25,27 @@ def table_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     user = {"event_type": "event_type", "user_id": "user_id"}
 
+    def summed(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+        """Counter: column value is the running sum by ts; whole microseconds order the samples."""
+        df = df.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+        return running(df, keys, value, "value", CHUNK, "__us").drop("__us")
+
     def event_value() -> FrameSource:
         return from_table(read("events"), "event_value", user, "ts", "value")
 
     def event_value_total() -> FrameSource:
-        w = Window.partitionBy("event_type", "user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        df = read("events").select("event_type", "user_id", "ts", F.sum("value").over(w).alias("value"))
+        df = summed(read("events").select("event_type", "user_id", "ts", "value"), ["event_type", "user_id"], F.col("value"))
         return from_table(df, "event_value_total", user, "ts", "value")
 
     def events_total() -> FrameSource:
-        w = Window.partitionBy("event_type").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        df = read("events").select("event_type", "ts", F.count(F.lit(1)).over(w).alias("value"))
+        df = summed(read("events").select("event_type", "ts"), ["event_type"], F.lit(1))
         return from_table(df, "events_total", {"event_type": "event_type"}, "ts", "value")
 
     def event_value_bucket() -> FrameSource:
         le = F.explode(F.array(*map(F.lit, BOUNDS)))
         rows = read("events").select("event_type", "ts", "value", le.alias("le"))
-        w = Window.partitionBy("event_type", "le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
         inside = F.when(F.col("le") == "+Inf", F.lit(1)).otherwise((F.col("value") <= F.col("le").try_cast("double")).cast("int"))
-        return from_table(rows.select("event_type", "le", "ts", F.sum(inside).over(w).alias("value")), "event_value_bucket", {"event_type": "event_type", "le": "le"}, "ts", "value")
+        return from_table(summed(rows, ["event_type", "le"], inside), "event_value_bucket", {"event_type": "event_type", "le": "le"}, "ts", "value")
 
     def daily(table: str, name: str, labels: dict[str, str], day: str, value: str) -> FrameSource:
         keys = [F.col(c).alias(x) for x, c in labels.items()]

@@ -366,3 +366,10 @@ def test_named_queries_have_sql():
 
     missing = set(queries.queries()) - set(queries.oracle_sql())
     assert missing == {"limit_ratio"}
+
+
+@pytest.mark.parametrize("query", ["gauge", "rate(requests_total[2m])", "irate(requests_total[2m])", "changes(gauge[5m])", "xrate(requests_total[2m])", "xincrease(limits[1m])", "last_over_time(gauge[1h])"])
+def test_cut_series_equal_whole_ones(spark, mixed, query):
+    whole = MetricsEngine(spark, mixed[0], Options(extended=True)).range(query, 0, 900_000, 45_000).series()
+    cut = MetricsEngine(spark, mixed[0], Options(extended=True, series_chunk=100_000)).range(query, 0, 900_000, 45_000).series()
+    same(cut, {frozenset(k): v for k, v in whole.items()})
