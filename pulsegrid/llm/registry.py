@@ -19,6 +19,8 @@ QUERIES = {
 
 #: DuckDB SQL, for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngramjoin.ORACLE,
     "op3_quality": quality.ORACLE,
+    "op6_suffix_dedup": suffixdedup.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }

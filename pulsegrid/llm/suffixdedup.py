@@ -443,6 +443,28 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return done.withColumnRenamed("id", id_col)
 
 
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS p FROM d WHERE octet_length(b) >= 50),
+windows AS (SELECT doc_id, p, b[p:p+49] AS x FROM starts),
+firsts AS (SELECT x, min(doc_id) AS f FROM windows GROUP BY x HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT doc_id, p FROM windows JOIN firsts USING (x) WHERE doc_id > f),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hits),
+islands AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 49 AS z FROM islands GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) + 1 AS a, a - 1 AS z FROM spans
+  UNION ALL SELECT doc_id, max(z) + 1, NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN coalesce(g.z, octet_length(b)) >= g.a THEN hex(b[g.a:coalesce(g.z, octet_length(b))]) ELSE '' END, '' ORDER BY g.a) AS h
+  FROM gaps g JOIN d USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(z - a + 1) AS n, count(*) AS k FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN removed ON d.doc_id = removed.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: what repeats of 50 bytes leave of every document."""
     found = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
