@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import QueryError, UnsupportedExpression, translated
+from .errors import QueryError, QueryTimeout, UnsupportedExpression, translated
 from .grid import Grid, Vector, ref
 from .lang.lexer import duration_ms
 from .lang.nodes import K_AGGREGATES, SORTS, Aggregate, Call, Node, Paren, Text, kind
@@ -38,15 +41,46 @@ class Result:
     warnings: list[str] = field(default_factory=list)
     plan: Node | None = None
     text: str | None = None
+    timeout: float = 0
+    #: (warning, rows that cause it): see ``data_warnings``.
+    checks: list = field(default_factory=list)
 
     def collect(self) -> list:
+        """All rows; Spark's errors come as the query errors behind them."""
+        if self.df is None:
+            return []
+        context, tag = self.df.sparkSession.sparkContext, f"pulsegrid-{uuid.uuid4().hex}"
+        late = threading.Event()
+        timer = threading.Timer(self.timeout, lambda: (late.set(), context.cancelJobsWithTag(tag))) if self.timeout else None
+        context.addJobTag(tag)
+        if timer:
+            timer.start()
         try:
-            return [] if self.df is None else self.df.collect()
+            return self.df.collect()
         except Exception as e:
+            if late.is_set():
+                raise QueryTimeout(f"query took longer than {self.timeout} s") from None
             own = translated(e)
             if own is e:
                 raise
             raise own from None
+        finally:
+            if timer:
+                timer.cancel()
+            context.removeJobTag(tag)
+
+    def data_warnings(self) -> list[str]:
+        """Warnings that depend on the data. Each possible one is looked for by a job of its
+        own that stops at the first row, so they are only looked for when asked."""
+        return self.warnings + [text for text, rows in self.checks if rows.limit(1).count()]
+
+    def analyze(self) -> dict:
+        """Runs the query without keeping its rows: rows, seconds, both plans."""
+        seen = Observation()
+        df = self.df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return {"rows": seen.get["rows"], "seconds": time.perf_counter() - start, "plan": self.explain(), "spark": df._jdf.queryExecution().executedPlan().toString()}
 
     def series(self) -> dict[tuple[tuple[str, str], ...], list[tuple[int, float]]]:
         """For small results: label pairs (absent ones left out) to points in time order."""
@@ -130,7 +164,7 @@ class MetricsEngine:
         else:
             out = checked(ev.vector(plan, grid))
         df = out.df.select(*[ref(n).alias(shown(n)) for n in out.labels], "step", *out.value)
-        return Result(form, df, out.labels, ev.warnings, plan)
+        return Result(form, df, out.labels, ev.warnings, plan, timeout=options.timeout, checks=ev.checks)
 
     def _ordered(self, r: Result, root: Node) -> Result:
         """Order of an instant result, where the query asks for one."""

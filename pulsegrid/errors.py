@@ -33,6 +33,10 @@ class TooManySamples(QueryError):
     """A query would hold more samples than its limit."""
 
 
+class QueryTimeout(QueryError):
+    """A query took longer than its limit; its Spark jobs were cancelled."""
+
+
 #: Starts of messages that ``raise_error`` carries out of Spark, and what they become.
 MARKS = {"PULSEGRID_DUPLICATE": DuplicateSeries, "PULSEGRID_MANY": ManyToMany, "PULSEGRID_PARAM": QueryError, "PULSEGRID_SAMPLES": TooManySamples}
 

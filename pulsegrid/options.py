@@ -12,6 +12,7 @@ class Options:
     lookback: how long a sample stays the newest one. extended_lookback: how far the
     extended functions look before a window. sub_step: a subquery's default step.
     max_samples: 0, or how many samples a selector may hold.
+    timeout: 0, or seconds after which a query's collection is cancelled.
     series_chunk: 0, or the time range in which one task sorts a series' samples. To be
     set where single series are longer than that: the parts of a series are then worked
     on side by side.
@@ -21,6 +22,7 @@ class Options:
     extended_lookback: int = 3_600_000
     sub_step: int = 60_000
     max_samples: int = 0
+    timeout: float = 0
     series_chunk: int = 0
     extended: bool = False
     optimize: bool = True

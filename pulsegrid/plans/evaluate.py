@@ -29,12 +29,17 @@ class Evaluator:
     def __init__(self, spark: SparkSession, source, options: Options, sources: tuple = ()):
         self.spark, self.source, self.options, self.sources = spark, source, options, sources
         self.warnings: list[str] = []
+        self.checks: list[tuple] = []
         self._scalars = 0
 
     def warn(self, text: str) -> None:
         if text not in self.warnings:
             self.warnings.append(text)
 
+    def check(self, text: str, rows) -> None:
+        """A warning that holds if ``rows`` has any."""
+        self.checks.append((text, rows))
+
     # Scalars.
 
     def scalar(self, node: Node, grid: Grid) -> Scalar:
@@ -120,7 +125,13 @@ class Evaluator:
         if node.param is not None:
             param = node.param.value if isinstance(node.param, Text) else self.scalar(node.param, grid)
             self.check_param(node.op, param)
-        return agg.aggregate(node.op, self.vector(node.expr, grid), node.labels, node.without, param)
+        x = self.vector(node.expr, grid)
+        if x.hist and node.op in ("sum", "avg"):
+            keys = [*[col(n) for n in agg.group_labels(x, node.labels, node.without)], "step"]
+            self.check("encountered a mix of histograms and floats for aggregation", x.df.groupBy(*keys).agg(F.count("v").alias("f"), F.count("h").alias("n")).filter("f > 0 AND n > 0"))
+        elif x.hist and node.op in ("min", "max", "stddev", "stdvar", "quantile", "topk", "bottomk"):
+            self.check(f"ignored histogram in {node.op} aggregation", x.df.filter("h IS NOT NULL"))
+        return agg.aggregate(node.op, x, node.labels, node.without, param)
 
     def check_param(self, op: str, param) -> None:
         value = param.value if isinstance(param, Scalar) else None
@@ -158,7 +169,10 @@ class Evaluator:
             given = [self.scalar(a, grid) for a in args[:-1]]
             if fn == "histogram_quantile" and given[0].value is not None and not 0 <= given[0].value <= 1:
                 self.warn(f"quantile value should be between 0 and 1, got {given[0].value}")
-            return histograms.buckets_function(fn, given, self.vector(args[-1], grid))
+            x = self.vector(args[-1], grid)
+            if "le" in x.labels:
+                self.check("bucket label 'le' is missing or has a malformed value", x.floats().df.filter(F.col("l_le").try_cast("double").isNull()))
+            return histograms.buckets_function(fn, given, x)
         x = self.vector(args[0], grid)
         if fn == "timestamp":
             own = isinstance(_bare(args[0]), Select) and _bare(args[0]).own_time

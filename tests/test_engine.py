@@ -373,3 +373,22 @@ def test_cut_series_equal_whole_ones(spark, mixed, query):
     whole = MetricsEngine(spark, mixed[0], Options(extended=True)).range(query, 0, 900_000, 45_000).series()
     cut = MetricsEngine(spark, mixed[0], Options(extended=True, series_chunk=100_000)).range(query, 0, 900_000, 45_000).series()
     same(cut, {frozenset(k): v for k, v in whole.items()})
+
+
+def test_warnings_timeouts_and_analysis(spark, native, mixed):
+    from pulsegrid.errors import QueryTimeout
+
+    e = MetricsEngine(spark, native)
+    assert e.instant("sum(m)", 150_000).data_warnings() and not e.instant('sum(m{pod="a"})', 150_000).data_warnings()
+    assert e.instant("max(m)", 150_000).data_warnings()
+    h = MetricsEngine(spark, load_script(spark, HIST))
+    assert h.instant("histogram_quantile(0.5, h_bucket)", 60_000).data_warnings()
+    assert not h.instant('histogram_quantile(0.5, h_bucket{pod="a"})', 60_000).data_warnings()
+    seen = MetricsEngine(spark, mixed[0]).range("sum(gauge)", 0, 120_000, 30_000).analyze()
+    assert seen["rows"] == 5 and "Aggregate" in seen["plan"] and "HashAggregate" in seen["spark"]
+    slow = spark.range(0, 1 << 40).selectExpr("'m' l___name__", "id % 1000 t", "cast(hash(id) as double) v")
+    from pulsegrid.sources.series import FrameSource
+
+    with pytest.raises(QueryTimeout):
+        MetricsEngine(spark, FrameSource(slow), Options(timeout=1)).instant("sum(m)", 1000).collect()
+    assert MetricsEngine(spark, mixed[0], Options(timeout=60)).instant("sum(limits)", 60_000).collect()
