@@ -99,27 +99,36 @@ def fails(row_words: Column, row_repeats: Column) -> Column:
     return (row_words < MIN_WORDS) | (100 * row_repeats > MAX_REPEAT_PERCENT * row_words)
 
 
-def host_verdicts(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``(host, host_docs, host_failed, host_rate, host_kept)`` from documents with ``base_failed``.
+def host_counts(measured: DataFrame) -> DataFrame:
+    """``(host, host_docs, host_failed)`` from documents with ``base_failed``."""
+    return measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
 
-    With m and v the mean and variance of the hosts' rates, the beta prior has
-    a + b = m(1 - m)/v - 1 and a = m(a + b); the shrunk rate is (failed + a)/(docs + a + b).
+
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """(weight, centre) of the beta prior: two numbers, whatever the number of hosts.
+
+    With m and v the mean and variance of the hosts' rates, a + b = m(1 - m)/v - 1 and
+    a = m(a + b).
     """
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), (F.sum("host_failed") / F.sum("host_docs")).alias("p"))
-    weight = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)))
-    prior = prior.select(F.coalesce(weight, F.lit(PRIOR_DOCS)).alias("weight"), F.when(weight.isNotNull(), F.col("m")).otherwise(F.col("p")).alias("centre"))
-    shrunk = (F.col("host_failed") + F.col("centre") * F.col("weight")) / (F.col("host_docs") + F.col("weight"))
-    # The prior is one row: an aggregate without keys.
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_host_rate).alias("host_kept"))
+    r = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), F.sum("host_failed").alias("f"), F.sum("host_docs").alias("n")).first()
+    if r.v:
+        return max(r.m * (1 - r.m) / r.v - 1, 1.0), r.m
+    return PRIOR_DOCS, r.f / r.n if r.n else 0.0
+
+
+def host_verdicts(hosts: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """Hosts with ``host_rate``, shrunk to (failed + a)/(docs + a + b), and ``host_kept``."""
+    weight, centre = prior(hosts)
+    shrunk = (F.col("host_failed") + centre * weight) / (F.col("host_docs") + weight)
+    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_host_rate).alias("host_kept"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Every document's measures, ``base_failed``, its host's figures and ``kept``."""
     ws = Workspace(docs.sparkSession, "quality")
     measured = ws.table(measure(docs, id_col, text_col, host_col).withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"))), "measured")
-    hosts = ws.table(host_verdicts(measured, max_host_rate), "hosts")
+    hosts = host_verdicts(ws.table(host_counts(measured), "hosts"), max_host_rate)
     same = F.col("host").eqNullSafe(F.col("__host"))
     hosts = hosts.withColumnRenamed("host", "__host")
     if hosts.count() <= BROADCAST_ROWS:
