@@ -21,6 +21,7 @@ from .operators import labels as label_ops
 from .options import Options
 from .plans import rules as R
 from .plans.evaluate import Evaluator, checked
+from .session import reachable
 
 
 def shown(label: str) -> str:
@@ -114,7 +115,7 @@ class MetricsEngine:
     """
 
     def __init__(self, spark: SparkSession, source, options: Options | None = None, rules: Iterable[Callable[[Node], Node]] = ()):
-        self.spark, self.source, self.options, self.rules = spark, source, options or Options(), tuple(rules)
+        self.spark, self.source, self.options, self.rules = reachable(spark), source, options or Options(), tuple(rules)
         if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
             raise QueryError("the session's time zone must be UTC (spark.sql.session.timeZone)")
 
