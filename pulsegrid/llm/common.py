@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.session import reachable
+
 #: Most rows of a side that is broadcast; beyond it the join is a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -33,7 +35,7 @@ class Workspace:
     """A run's own sub-folder of the shared folder; deleted when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = reachable(spark)
         self.root = f"{shared_root(spark).rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex[:12]}"
         path, fs = self._hadoop(self.root)
         fs.mkdirs(path)
@@ -106,6 +108,7 @@ def scale_parts(spark: SparkSession, least: int = 8) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts fits in a worker."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
