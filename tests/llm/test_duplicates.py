@@ -77,8 +77,9 @@ def chains(n):
     return out
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard_join(spark, tmp_path, n, percent):
+@pytest.mark.parametrize("n,percent,staged", [(3, 90, 20_000), (5, 80, 0)])
+def test_jaccard_join(spark, tmp_path, monkeypatch, n, percent, staged):
+    monkeypatch.setattr(ngramjoin, "STAGED", staged)
     rows = unique(documents()) + [(500 + i, t, None, None) for i, t in enumerate(chains(40))]
     found = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d"), n=n, percent=percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.documents.collect()} == brute_components(rows, n, percent)
