@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, unpack, unpack_ints, unpack_sorted, write_atomically
+from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, trim, unpack, unpack_ints, unpack_sorted, write_atomically
 from .wordbpe import default_vocabulary, encoder
 
 #: Words and distinct words after which a page is closed; they bound a worker's memory.
@@ -116,6 +116,8 @@ def _split_pages(path: str, folder: str, buckets: int, schema: pa.Schema, kind:
                     page, number = None, number + 1
         if page:
             yield from close(page)
+            page = None
+            trim()
 
     return run
 
@@ -210,6 +212,8 @@ def _join_back(path: str, folder: str, schema: pa.Schema):
                 words.add(a, b, c)
         if page is not None:
             yield from texts(page, words)
+            del words
+            trim()
 
     return run
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunkdedup import LAST, merged
-from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, unpack, unpack_ints, unpack_sorted, write_atomically
+from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, trim, unpack, unpack_ints, unpack_sorted, write_atomically
 from .suffixsort import _BASE, _BYTE, Suffixes
 
 #: Bytes of a string; of a k-gram; of a page; worked on at once; windows sorted at once.
@@ -211,8 +211,11 @@ def _pages(folder: str, fragments: int):
                 if held >= PAGE_BYTES:
                     yield from close(number, ids, raws)
                     number, ids, raws, held = number + 1, [], [], 0
+                    trim()
         if ids:
             yield from close(number, ids, raws)
+            del ids, raws
+            trim()
 
     return run
 
@@ -236,6 +239,7 @@ def _settle(table: pa.Table) -> pa.Table:
     body = np.concatenate([unpack_ints(x) for x in table.column("b").to_pylist()])
     units = [unpack_ints(x) for x in table.column("c").to_pylist()]
     doc = np.concatenate([(unpack_ints(n) ^ np.uint64(1 << 63)).view(np.int64)[unpack_ints(i).astype(np.int64)] for n, i in map(_untwo, table.column("d").to_pylist())])
+    trim()
     order = np.lexsort((doc, body, anchor))
     a, b, d = anchor[order], body[order], doc[order]
     del anchor, body, doc
@@ -264,6 +268,7 @@ def _settle(table: pa.Table) -> pa.Table:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of sorted batches, page by page."""
+    trim()
     page, held = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in _ROWS.names), strict=True):
@@ -378,6 +383,7 @@ def _sorted_windows(table: pa.Table) -> pa.Table:
         hit = order[d > np.repeat(least, np.diff(np.append(starts, len(d))))]
         hit_piece.append(of[hit])
         hit_window.append(j[hit])
+    trim()
     rows = []
     if hit_piece:
         p, w = np.concatenate(hit_piece), np.concatenate(hit_window)
