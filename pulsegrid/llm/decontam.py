@@ -3,9 +3,12 @@
 1. A window that shares no five-word shingle with any item has similarity 0. So words
    are looked up once in the set of all items' shingles, and windows start where a run
    of found shingles starts (or an item's first shingle is found): moving a window's
-   start right to its first shared shingle never lowers its intersection.
+   start right to its first shared shingle never lowers its intersection, as long as
+   the window still fits. Where it would leave the text, it is the text's last window
+   of that size, and where the text is shorter than the item, the whole text.
 2. From each start there is a window of every item size. Its SimHash is built from
    running sums over its shingles: 16-bit lanes of a long count four bits at once.
+   The windows at a text's end are running sums from its end (start TAIL).
 3. Items of the window's size are found by a multi-index: 64 bits in BLOCKS nibbles;
    two fingerprints within RADIUS = BLOCKS - 1 bits agree in at least one nibble, so
    every one within the radius is found.
@@ -36,6 +39,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BLOCKS = 16
 RADIUS = BLOCKS - 1
 LANES = 16
+#: In place of a start: the text's shingles from its end backwards.
+TAIL = -1
 _LANE_MASK = 0x0001000100010001
 _SPACES = "\t\n\x0b\x0c\r"
 
@@ -97,13 +102,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     longest = sizes[-1] if sizes else 1
     again = docs.select(F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.col(text_col).alias("text"))
     own = again.join(small_side(starts), ["k1", "k2"]).select("k1", "k2", "starts", text_shingles(F.col("text")).alias("h")).dropDuplicates(["k1", "k2"])
-    spread = own.select("k1", "k2", "h", F.explode("starts").alias("start")).select("k1", "k2", "start", F.posexplode(F.slice("h", F.col("start") + 1, F.lit(longest))).alias("off", "h"))
-    spread = ws.table(spread, "spread")
+    own = own.select("k1", "k2", "h", "starts", F.size("h").alias("n"), F.array_max("starts").alias("last"))
+    ends = F.when(F.col("last") + longest > F.col("n"), F.array(F.lit(TAIL))).otherwise(F.array().cast("array<int>"))
+    spread = own.select("k1", "k2", "h", "n", "last", F.explode(F.concat("starts", ends)).alias("start"))
+    piece = F.when(F.col("start") == TAIL, F.slice(F.reverse("h"), 1, longest)).otherwise(F.slice("h", F.col("start") + 1, F.lit(longest)))
+    spread = ws.table(spread.select("k1", "k2", "n", "last", "start", F.posexplode(piece).alias("off", "h")), "spread")
 
     # Running sums give the fingerprints of all window sizes.
     run = Window.partitionBy("k1", "k2", "start").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    sums = spread.select("k1", "k2", "start", (F.col("off") + 1).alias("m"), *[F.sum(lane(F.col("h"), b)).over(run).alias(f"s{b}") for b in range(LANES)])
-    windows = sums.join(F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in sizes], "m int")), "m").select("k1", "k2", "start", "m", fingerprint([F.col(f"s{b}") for b in range(LANES)], F.col("m")).alias("fp"))
+    lanes = [F.sum(lane(F.col("h"), b)).over(run).alias(f"s{b}") for b in range(LANES)]
+    sums = lambda rows: rows.select("k1", "k2", "n", "last", "start", (F.col("off") + 1).alias("len"), *lanes)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in sizes], "m int"))
+    full = sums(spread).join(wanted, F.col("len") == F.col("m")).filter((F.col("start") != TAIL) | (F.col("last") + F.col("m") > F.col("n")))
+    short = sums(spread.filter((F.col("start") == TAIL) & (F.col("n") < longest))).filter(F.col("len") == F.col("n"))
+    short = short.join(wanted, (F.col("m") > F.col("len")) & (F.col("len") / F.col("m") >= threshold))
+    at = F.when(F.col("start") == TAIL, F.col("n") - F.col("len")).otherwise(F.col("start"))
+    windows = full.unionByName(short).select("k1", "k2", "start", at.alias("at"), "len", "m", fingerprint([F.col(f"s{b}") for b in range(LANES)], F.col("len")).alias("fp"))
     windows = ws.table(windows, "windows")
     totals = items.select("item", "m", F.explode("h").alias("h")).groupBy("item", "m").agg(*[F.sum(lane(F.col("h"), b)).alias(f"s{b}") for b in range(LANES)])
     prints = totals.select("item", "m", fingerprint([F.col(f"s{b}") for b in range(LANES)], F.col("m")).alias("item_fp"))
@@ -112,19 +126,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     left = windows.select("m", "fp").distinct().withColumn("nibble", F.explode(_nibbles(F.col("fp"))))
     right = prints.withColumn("nibble", F.explode(_nibbles(F.col("item_fp"))))
     near = left.join(right, ["m", "nibble"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("distance") <= RADIUS).select("m", "fp", "item", "distance").distinct()
-    found = ws.table(windows.join(small_side(ws.table(near, "near")), ["m", "fp"]).select("k1", "k2", "start", "m", "item", "distance"), "candidates")
+    found = ws.table(windows.join(small_side(ws.table(near, "near")), ["m", "fp"]).select("k1", "k2", "start", "at", "len", "m", "item", "distance"), "candidates")
 
     # Exact weighted similarity.
-    inside = spread.join(small_side(found), ["k1", "k2", "start"]).filter(F.col("off") < F.col("m"))
-    counts = inside.groupBy("k1", "k2", "start", "item", "m", "distance", "h").agg(F.count(F.lit(1)).alias("n"))
+    inside = spread.select("k1", "k2", "start", "off", "h").join(small_side(found), ["k1", "k2", "start"]).filter(F.col("off") < F.col("len"))
+    of = ["k1", "k2", "at", "len", "item", "m", "distance"]
+    counts = inside.groupBy(*of, "start", "h").agg(F.count(F.lit(1)).alias("n"))
     own_counts = items.select("item", F.explode("h").alias("h")).groupBy("item", "h").agg(F.count(F.lit(1)).alias("item_n"))
-    shared = counts.join(own_counts, ["item", "h"]).groupBy("k1", "k2", "start", "item", "m", "distance").agg(F.sum(F.least("n", "item_n")).alias("shared"))
-    similarity = F.col("shared") / (2 * F.col("m") - F.col("shared"))
+    shared = counts.join(own_counts, ["item", "h"]).groupBy(*of, "start").agg(F.sum(F.least("n", "item_n")).alias("shared"))
+    similarity = F.col("shared") / (F.col("len") + F.col("m") - F.col("shared"))
     good = shared.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
-    best = good.groupBy("k1", "k2", "item").agg(F.max_by(F.struct("start", "m", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
+    best = good.groupBy("k1", "k2", "item").agg(F.max_by(F.struct("at", "len", "distance", "similarity"), F.struct("similarity", -F.col("at"))).alias("w"))
     return (
         hits.select("doc", "k1", "k2").distinct().join(best, ["k1", "k2"])
-        .select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("w.start").cast("long").alias("start"), (F.col("w.m") + SHINGLE - 1).cast("long").alias("n_words"), F.col("w.distance").cast("int").alias("distance"), F.col("w.similarity").alias("similarity"))
+        .select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("w.at").cast("long").alias("start"), (F.col("w.len") + SHINGLE - 1).cast("long").alias("n_words"), F.col("w.distance").cast("int").alias("distance"), F.col("w.similarity").alias("similarity"))
     )
 
 

@@ -112,6 +112,41 @@ def test_decontamination(spark, tmp_path):
     assert decontam.contaminated(frame(spark, [], tmp_path / "e"), benchmark).count() == 0
 
 
+def best_windows(rows, items):
+    """Best similarity by (document, item) over all windows of item size; over the whole text if that is shorter."""
+    want = {}
+    for d, t in rows:
+        s = five(t)
+        for i, x in items:
+            own = five(x)
+            both = max(sum((Counter(s[a : a + len(own)]) & Counter(own)).values()) for a in range(max(1, len(s) - len(own) + 1)))
+            if own and (best := both / (min(len(s), len(own)) + len(own) - both)) >= 0.8:
+                want[(d, i)] = best
+    return want
+
+
+def test_decontamination_where_a_text_ends(spark):
+    import random
+
+    rng = random.Random(21)
+    items = [(i, " ".join(f"q{rng.randrange(5000)}" for _ in range(40 + 2 * i))) for i in range(11)]
+    rows = []
+    for i, x in items:
+        w, filler = x.split(), [f"f{i}x{k}" for k in range(10)]
+        cut = [w[:-1], w[1:], w[:-4], w[:-3] + w[-2:], w[:2] + w[3:], w]
+        rows += [" ".join(h + c + t) for c in cut for h in ([], filler) for t in ([], filler[:1])]
+    rows = list(enumerate(rows))
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = best_windows(rows, items)
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert len(found) == len(got) and got.keys() == want.keys() and len(want) == len(rows)
+    texts = dict(rows)
+    for k, r in got.items():
+        n = len(texts[r.doc_id].split())
+        assert abs(r.similarity - want[k]) < 1e-12
+        assert 0 <= r.start and r.start + r.n_words <= n and r.n_words == min(n, len(items[r.item_id][1].split()))
+
+
 def test_nibbles_find_everything_within_the_radius():
     rng = np.random.default_rng(1)
     for _ in range(500):
