@@ -88,6 +88,28 @@ def test_jaccard_join(spark, tmp_path, monkeypatch, n, percent, staged):
         assert r.overlap == len(sets[r.a] & sets[r.b])
 
 
+@pytest.mark.parametrize("n,percent,share", [(3, 90, 500), (5, 80, 7)])
+def test_jaccard_join_gives_every_link(spark, tmp_path, monkeypatch, n, percent, share):
+    monkeypatch.setattr(ngramjoin, "SHARE", share)
+    # Kin: equal but for one word that no other document has.
+    kin = [" ".join(f"k{j}" if j != at else f"own{i}" for j in range(90)) for i, at in enumerate([89] * 6 + [0] * 6)]
+    rows = unique(documents()) + [(500 + i, t, None, None) for i, t in enumerate(chains(40) + kin)]
+    found = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d"), n=n, percent=percent, every_link=True)
+    sets = {d: shingles(t, n) for d, t, *_ in rows}
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    reps = sorted(first[s] for s in first if s)
+    want = {(a, b): len(sets[a] & sets[b]) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    got = found.links.collect()
+    assert len(got) == len(want) > 100 and {(r.a, r.b): r.overlap for r in got} == want
+    ends = Counter(x for pair in want for x in pair)
+    components = brute_components(rows, n, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found.documents.collect()} == {d: (*components[d], ends[first[sets[d]]] if sets[d] else 0) for d in sets}
+    assert len(ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "s"), n=n, percent=percent).links.collect()) < len(want)
+    assert {r.n_links for r in ngramjoin.jaccard_join(frame(spark, documents()[60:64], tmp_path / "e"), every_link=True).documents.collect()} == {0}
+
+
 def test_jaccard_join_odd_rows(spark, tmp_path):
     rows = documents()
     got = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d")).documents.collect()
