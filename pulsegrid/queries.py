@@ -19,6 +19,8 @@ from .sources.tables import table_catalog
 
 HOUR, DAY = 3_600_000, 86_400_000
 START, END, STEP = 1_704_153_600_000, 1_706_572_800_000, 21_600_000
+#: The days of orders and lineitem, 1995-01-01 to 2001-11-04; their queries have this grid.
+SPAN = (788_918_400_000, 1_004_832_000_000, DAY)
 
 
 #: Added before rounding, so that a value just between two roundings isn't decided by the
@@ -38,11 +40,12 @@ class Named:
     sql: str | None
     options: Options = Options(lookback=DAY, sub_step=STEP)
     instant: int | None = None
+    grid: tuple[int, int, int] = (START, END, STEP)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         engine = MetricsEngine(spark, table_catalog(spark, sf_dir), self.options)
-        r = engine.range(self.query, START, END, STEP) if self.instant is None else engine.instant(self.query, self.instant)
+        r = engine.range(self.query, *self.grid) if self.instant is None else engine.instant(self.query, self.instant)
         v = rounded(F.col("v"))
         return r.df.select(*[F.col(f"`{n}`") for n in r.labels], "step", v.alias("v"))
 
@@ -59,6 +62,7 @@ _LQ = "SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, epoch_us(l
 _OP = "SELECT o_orderstatus AS status, o_orderpriority AS priority, epoch_us(o_orderdate)//1000 AS t, sum(o_totalprice) AS v FROM orders GROUP BY ALL"
 _CI = "SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_mktsegment AS segment, epoch_ms(h) AS t, 1.0::DOUBLE AS v FROM customer CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 6 HOUR)) AS h)"
 _G = f"SELECT unnest(range({START}, {END} + 1, {STEP})) AS step"
+_G_SPAN = f"SELECT unnest(range({SPAN[0]}, {SPAN[1]} + 1, {SPAN[2]})) AS step"
 USER = "event_type, user_id"
 TYPE = "event_type"
 
@@ -217,6 +221,7 @@ QUERIES: dict[str, Named] = {
     "sel_not_regex": Named(f'{_E}{{event_type!~"c.*",user_id="3"}}', _with(s=_EV, i=_newest(where="event_type NOT LIKE 'c%' AND user_id = '3'")) + _final(_NAMED, "v", "i")),
     "sel_timestamp": Named(f"timestamp({_E})", _with(s=_EV, i=_newest()) + _final(USER, "t / 1000.0", "i")),
     "sel_orders": Named("order_price", _with(s=_OP, i=_newest(labels="status, priority")) + _final("'order_price' AS __name__, priority, status", "v", "i")),
+    "sel_orders_span": Named("order_price", _with(g=_G_SPAN, s=_OP, i=_newest(labels="status, priority")) + _final("'order_price' AS __name__, priority, status", "v", "i"), grid=SPAN),
     # Aggregations.
     "agg_sum_by": Named(f"sum by (event_type) ({_E})", _over_newest("sum(v)")),
     "agg_avg_by": Named(f"avg by (event_type) ({_E})", _over_newest("avg(v)")),
@@ -232,6 +237,7 @@ QUERIES: dict[str, Named] = {
     "agg_sum_all": Named(f"sum({_E})", _over_newest("sum(v)", "")),
     "agg_count_values": Named(f'count_values by (event_type) ("value", round({_E}))', _with(s=_EV, i=_newest(), r="SELECT event_type, CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) AS value, step, count(*) AS v FROM i GROUP BY ALL") + _final("event_type, value", "v", "r")),
     "agg_sum_lineitem": Named("sum by (returnflag) (line_quantity)", _with(s=_LQ, i=_newest(labels="returnflag, linestatus"), r="SELECT returnflag, step, sum(v) AS v FROM i GROUP BY ALL") + _final("returnflag", "v", "r")),
+    "agg_sum_lineitem_span": Named("sum by (returnflag) (line_quantity)", _with(g=_G_SPAN, s=_LQ, i=_newest(labels="returnflag, linestatus"), r="SELECT returnflag, step, sum(v) AS v FROM i GROUP BY ALL") + _final("returnflag", "v", "r"), grid=SPAN),
     "topk_by": Named(f"topk by (event_type) (3, {_E})", _ranked(3, f"v DESC, {USER}")),
     "bottomk_by": Named(f"bottomk by (event_type) (2, {_E})", _ranked(2, f"v, {USER}")),
     "limitk_by": Named(f"limitk by (event_type) (2, {_E})", _ranked(2, USER)),
