@@ -110,6 +110,14 @@ def test_jaccard_join_gives_every_link(spark, tmp_path, monkeypatch, n, percent,
     assert {r.n_links for r in ngramjoin.jaccard_join(frame(spark, documents()[60:64], tmp_path / "e"), every_link=True).documents.collect()} == {0}
 
 
+def test_jaccard_join_where_no_hub_fits(spark, tmp_path):
+    # Near copies 1 and 2; a much longer document with a smaller id has their n-grams among its rarest.
+    words, rest = [f"n{i}" for i in range(100)], [f"m{i}" for i in range(300)]
+    rows = [(i, " ".join(w), None, None) for i, w in enumerate([words + rest, words, words[:-1], rest, rest, rest])]
+    got = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d")).documents.collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 90)
+
+
 def test_jaccard_join_odd_rows(spark, tmp_path):
     rows = documents()
     got = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d")).documents.collect()
