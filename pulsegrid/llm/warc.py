@@ -9,15 +9,19 @@ audit compares two replicas' roots and reads tree nodes below mismatching ones o
 down to the records that differ. Bytes are read by the manifest's ranges, so damage
 (also a cut or missing file) can't shift a neighbour's range.
 
-Edge cases: null url or html is empty; a null id has no id header; repeated rows are
-records of their own. Other columns aren't read. An empty table has no archives, and
-its audit is empty. The input must give the same rows in the same order when a task is
-run again, as a stored table does.
+Edge cases: null url or html is empty; control characters of a url (a line break would
+end its header) are percent-encoded, as a URI needs; a null id has no id header;
+repeated rows are records of their own, and so have leaves of their own. A page is one
+record however long it is: a task holds it whole, and an archive of up to ARCHIVE_BYTES.
+Other columns, also such as are named like the manifest's, aren't read. An empty table
+has no archives, and its audit is empty. The input must give the same rows in the same
+order when a task is run again, as a stored table does.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -34,6 +38,7 @@ FANOUT = 16
 ARCHIVE_BYTES = 256 << 20
 _MANIFEST = pa.schema([("page_id", pa.int64()), ("archive", pa.string()), ("record", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 _NODES = pa.schema([("archive", pa.string()), ("level", pa.int32()), ("node", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("hash", pa.binary()), ("root", pa.bool_())])
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _NODES_DDL = "archive string, level int, node long, lo long, hi long, hash binary, root boolean"
 
 
@@ -42,7 +47,7 @@ def record_bytes(page_id: int | None, url: str | None, html: str | None, date: s
     body = (html or "").encode()
     digest = hashlib.sha256(body).hexdigest()
     name = uuid.UUID(bytes=hashlib.sha256(f"{page_id}\0{url}\0{digest}".encode()).digest()[:16], version=5)
-    head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url or ''}", "Content-Type: text/html", f"WARC-Block-Digest: sha256:{digest}", *([f"X-Page-Id: {page_id}"] if page_id is not None else []), f"Content-Length: {len(body)}"]
+    head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_CONTROL.sub(lambda c: f'%{ord(c[0]):02X}', url or '')}", "Content-Type: text/html", f"WARC-Block-Digest: sha256:{digest}", *([f"X-Page-Id: {page_id}"] if page_id is not None else []), f"Content-Length: {len(body)}"]
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
 
@@ -137,18 +142,14 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     other = b.select(*keys, F.col("hash").alias("__hash"))
     # Both trees are over the same ranges, so they have the same nodes.
     roots = a.filter("root").join(other, keys, "left").filter(~F.col("hash").eqNullSafe(F.col("__hash"))).select(*keys, "lo", "hi")
-    suspects = {(r.archive, r.level) for r in roots.select("archive", "level").distinct().limit(100_000).collect()}
-    found = roots.filter("level = 0")
-    doubt = roots.filter("level > 0")
-    level = max((x[1] for x in suspects), default=0)
-    while level > 0:
+    height = roots.agg(F.max("level")).first()[0]  # one number, whatever the number of archives
+    doubt = roots
+    for level in range(height or 0, 0, -1):
         parents = doubt.filter(F.col("level") == level).select("archive", F.col("node").alias("__parent"))
         below = a.filter((F.col("level") == level - 1) & ~F.col("root")).withColumn("__parent", F.floor(F.col("node") / FANOUT).cast("long"))
         children = below.join(parents, ["archive", "__parent"], "left_semi").join(other, keys, "left").filter(~F.col("hash").eqNullSafe(F.col("__hash"))).select(*keys, "lo", "hi")
         doubt = doubt.filter(F.col("level") < level).unionByName(children)
-        level -= 1
-        found = doubt.filter("level = 0") if level == 0 else found
-    out = roots.filter("level = 0").unionByName(found).distinct() if suspects else roots.filter("false")
+    out = doubt.filter("level = 0")
     return out.select("archive", F.col("node").alias("record"), "lo", "hi")
 
 
