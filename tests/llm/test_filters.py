@@ -147,14 +147,39 @@ def test_decontamination_where_a_text_ends(spark):
         assert 0 <= r.start and r.start + r.n_words <= n and r.n_words == min(n, len(items[r.item_id][1].split()))
 
 
-def test_nibbles_find_everything_within_the_radius():
+def test_blocks_find_everything_within_the_radius():
     rng = np.random.default_rng(1)
     for _ in range(500):
         a = int(rng.integers(0, 1 << 63))
         b = a
         for bit in rng.choice(64, decontam.RADIUS, replace=False):
             b ^= 1 << int(bit)
-        assert any((a >> 4 * k) & 15 == (b >> 4 * k) & 15 for k in range(decontam.BLOCKS))
+        assert any((a >> at) % (1 << bits) == (b >> at) % (1 << bits) for at, bits in decontam.blocks())
+
+
+def test_item_of_very_many_words(spark):
+    from pulsegrid.llm.decontam import contaminated
+
+    long = " ".join(f"w{i % 70_001}" for i in range(70_000))
+    docs = [(1, "before " + long + " after"), (2, " ".join(long.split()[:50_000])), (3, "nothing of it"), (4, " ".join(f"w{i}" for i in range(40)))]
+    items = [(10, long), (11, " ".join(f"w{i}" for i in range(40)))]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == {(d, i): 1.0 for d, i in ((1, 10), (1, 11), (2, 11), (4, 11))}
+
+
+def test_recall_near_the_threshold():
+    """The share of pairs at similarity 0.80 to 0.83 whose fingerprints are within the radius."""
+    rng = np.random.default_rng(5)
+    bits = lambda hashes: (hashes[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool)
+    found = tried = 0
+    for m in (20, 36, 55, 100):
+        shared = next(s for s in range(m) if s / (2 * m - s) >= 0.8)
+        for _ in range(1500):
+            h = rng.integers(0, 1 << 63, 2 * m - shared, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * m - shared, dtype=np.uint64)
+            a, b = bits(h[:m]), bits(h[m - shared :])
+            distance = int(((a.sum(0) * 2 > m) != (b.sum(0) * 2 > m)).sum())
+            found, tried = found + (distance <= decontam.RADIUS), tried + 1
+    assert found >= 0.995 * tried, found / tried
 
 
 def pages(spark, path, n=90):
@@ -209,9 +234,38 @@ def test_tree_shape():
     assert warc.tree([], []) == [] and warc.tree([(0, 5)], [b"x"])[0][5]
 
 
+def test_audit_of_very_many_archives(spark):
+    from pyspark.sql import functions as F
+
+    ws = Workspace(spark, "many")
+    tall = [("tall", *x) for x in warc.tree([(i, i + 1) for i in range(300)], [bytes([i % 256]) * 32 for i in range(300)])]
+    ddl = warc._NODES_DDL
+    flat = spark.range(130_000).select(F.concat(F.lit("a"), "id").alias("archive"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("lo"), F.lit(9).cast("long").alias("hi"), F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("hash"), F.lit(True).alias("root"))
+    a = ws.table(flat.unionByName(spark.createDataFrame(tall, ddl)), "a")
+    other = [("tall", *x) for x in warc.tree([(i, i + 1) for i in range(300)], [bytes([i % 256 ^ (i == 257)]) * 32 for i in range(300)])]
+    b = ws.table(flat.withColumn("hash", F.lit(b"other")).unionByName(spark.createDataFrame(other, ddl)), "b")
+    bad = warc.audit(a, b)
+    assert bad.count() == 130_001 and [r.record for r in bad.filter("archive = 'tall'").collect()] == [257]
+
+
+def test_url_with_line_breaks():
+    head, body = warc.parse_record(warc.record_bytes(7, "http://h/a\r\nX-Page-Id: 8\n b", "body\r\n\r\nmore"))
+    assert head["WARC-Target-URI"] == "http://h/a%0D%0AX-Page-Id:%208%0A%20b" and head["X-Page-Id"] == "7" and body == b"body\r\n\r\nmore"
+
+
 def test_archive_query(spark, tmp_path):
     _, rows = pages(spark, tmp_path / "pages.parquet")
     got = warc.query(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and all(r.intact for r in got)
+    # Leaves by brute force: what each record holds, hashed with its range.
+    held = Counter()
+    for p, url, html in rows:
+        held[p, warc.record_bytes(p, url, html)] += 1
+    for r in got:
+        mine = [data for (p, data), _ in held.items() if p == r.page_id and len(data) == r.length]
+        import hashlib
+        import struct
+
+        assert r.leaf_hash in [hashlib.sha256(b"\x00" + struct.pack("<QQ", r.start, r.start + r.length) + data).hexdigest() for data in mine]
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
     assert warc.query(spark, str(tmp_path / "none")).count() == 0
