@@ -13,7 +13,7 @@
 3. Items of the window's size are found by a multi-index: 64 bits in BLOCKS blocks of 3
    or 4 bits; two fingerprints within RADIUS = BLOCKS - 1 bits agree in at least one
    block, so every one within the radius is found. Of random pairs with a similarity of
-   0.80 to 0.83, 99.8 % are within the radius (6,000 pairs of 20 to 100 shingles); the
+   0.80 to 0.83, 99.9 % are within the radius (16,000 pairs of 20 to 100 shingles); the
    rest is what this method misses. Exact passages have distance 0.
 4. Candidates are verified by exact weighted similarity: sum of minima over sum of
    maxima of the shingles' counts in window and item.

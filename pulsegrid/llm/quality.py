@@ -1,25 +1,36 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-1. Each document is measured inside its own row: no row per word leaves it.
-2. Rule failures are summed by host. Rates are shrunk towards the corpus by a beta
-   prior fitted to all hosts (method of moments): a host with few documents is judged
-   mostly by the prior, a host with many by its own rate.
-3. Host verdicts join back: a document stays if it passes the rules itself and its
-   host's shrunk failure rate isn't above ``max_host_rate``.
+1. Each document is measured inside its own row (no row per word leaves it) and tested
+   by the RULES. The first two are *base* rules, which a document must pass itself.
+2. Failures of each rule are summed by host. Rates are shrunk towards the corpus by a
+   beta prior for each rule, fitted to all hosts (method of moments): a host with few
+   documents is judged mostly by the prior, a host with many by its own rate.
+3. A host is *strict* in a rule if its shrunk rate is more than SPREAD standard
+   deviations of the prior above the prior's mean, so the limit follows the corpus. A
+   host is out if its shrunk rate of base failures is above ``max_host_rate``.
+4. Host verdicts join back: a document stays if it passes the base rules, its host isn't
+   out, and it fails no other rule in which its host is strict. A document that passes
+   all rules goes only with a host that is out.
 
 Measures go to a table in the shared folder, so texts are read once. The host table
 is broadcast only if it is counted small; beyond that both sides are dealt by host
 and a salt, so a host with a third of all rows is many tasks.
 
 Edge cases: null text has no words and fails; null hosts are one host; documents are
-counted as often as they come; an empty table gives an empty result. Prior: with fewer
-than two hosts, or equal rates of all, the prior is the corpus rate with the weight of
-``PRIOR_DOCS`` documents; hosts that differ more than a beta distribution allows leave
-it the weight of one document.
+counted as often as they come; null and equal ids are rows of their own; an empty table
+gives an empty result. A very long text is measured whole in its own row. Other columns
+aren't read, whatever they are called. Prior: with fewer than two hosts, or equal rates
+of all, the prior is the corpus rate with the weight of ``PRIOR_DOCS`` documents; hosts
+that differ more than a beta distribution allows leave it the weight of one document.
+A rate equal to its limit is not above it.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +41,23 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Hosts whose shrunk failure rate is above this lose all their documents.
 MAX_HOST_RATE = 0.5
 PRIOR_DOCS = 100.0
+#: Standard deviations of the prior above its mean from which on a host is strict in a rule.
+SPREAD = 1.0
+#: Variances of rates up to this are rounding, not difference.
+SAME = 1e-12
 SALTS = 32
+#: Rule -> what fails it. Limits of the soft rules: a symbol in ten words, three in ten
+#: lines repeated, mean word lengths from 3 to 10.
+BASE_RULES = {
+    "short": lambda: F.col("n_words") < MIN_WORDS,
+    "repeats": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+}
+SOFT_RULES = {
+    "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
+    "lines": lambda: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+    "word_length": lambda: (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words")),
+}
+RULES = BASE_RULES | SOFT_RULES
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -80,9 +107,9 @@ def repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)``."""
+    """``(id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)``; n_lines have a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(_SPACES)) != ""), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(_SPACES)) != ""), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     stats = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
     return rows.select(
@@ -91,43 +118,51 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         stats.alias("s"),
         F.length(_removed(text, _SPACES)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_removed(text, _SYMBOLS))).cast("long").alias("n_symbols"),
-        lines.cast("long").alias("n_dup_lines"),
-    ).select("id", "host", "s.n_words", "word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
+        lines.alias("l"),
+    ).select("id", "host", "s.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "s.n_repeat_words")
 
 
-def fails(row_words: Column, row_repeats: Column) -> Column:
-    return (row_words < MIN_WORDS) | (100 * row_repeats > MAX_REPEAT_PERCENT * row_words)
+def judged(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``fails_<rule>`` for every rule, and ``base_failed``."""
+    out = measured.select("*", *[f().alias(f"fails_{rule}") for rule, f in RULES.items()])
+    return out.withColumn("base_failed", reduce(or_, [F.col(f"fails_{rule}") for rule in BASE_RULES]))
 
 
-def host_counts(measured: DataFrame) -> DataFrame:
-    """``(host, host_docs, host_failed)`` from documents with ``base_failed``."""
-    return measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
+def host_counts(rows: DataFrame) -> DataFrame:
+    """``(host, host_docs, failed_base, failed_<rule>...)`` of judged documents."""
+    failed = {"base": "base_failed"} | {rule: f"fails_{rule}" for rule in SOFT_RULES}
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *[F.sum(F.col(c).cast("long")).alias(f"failed_{rule}") for rule, c in failed.items()])
 
 
-def prior(hosts: DataFrame) -> tuple[float, float]:
-    """(weight, centre) of the beta prior: two numbers, whatever the number of hosts.
+def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """(weight, centre) of each rule's beta prior: two numbers a rule, whatever the number of hosts.
 
     With m and v the mean and variance of the hosts' rates, a + b = m(1 - m)/v - 1 and
     a = m(a + b).
     """
-    rate = F.col("host_failed") / F.col("host_docs")
-    r = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), F.sum("host_failed").alias("f"), F.sum("host_docs").alias("n")).first()
-    if r.v:
-        return max(r.m * (1 - r.m) / r.v - 1, 1.0), r.m
-    return PRIOR_DOCS, r.f / r.n if r.n else 0.0
+    rules = ["base", *SOFT_RULES]
+    rate = lambda rule: F.col(f"failed_{rule}") / F.col("host_docs")
+    r = hosts.agg(F.sum("host_docs").alias("n"), *[f(x).alias(f"{name}_{rule}") for rule in rules for name, f, x in (("m", F.avg, rate(rule)), ("v", F.var_samp, rate(rule)), ("f", F.sum, F.col(f"failed_{rule}")))]).first()
+    out = {}
+    for rule in rules:
+        m, v, failed = r[f"m_{rule}"], r[f"v_{rule}"], r[f"f_{rule}"]
+        out[rule] = (max(m * (1 - m) / v - 1, 1.0), m) if v and v > SAME else (PRIOR_DOCS, failed / r.n if r.n else 0.0)
+    return out
 
 
 def host_verdicts(hosts: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Hosts with ``host_rate``, shrunk to (failed + a)/(docs + a + b), and ``host_kept``."""
-    weight, centre = prior(hosts)
-    shrunk = (F.col("host_failed") + centre * weight) / (F.col("host_docs") + weight)
-    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= max_host_rate).alias("host_kept"))
+    """Hosts with ``rate_<rule>``, shrunk to (failed + a)/(docs + a + b), ``strict_<rule>`` and ``host_kept``."""
+    found = priors(hosts)
+    shrunk = {rule: (F.col(f"failed_{rule}") + centre * weight) / (F.col("host_docs") + weight) for rule, (weight, centre) in found.items()}
+    limit = {rule: centre + SPREAD * math.sqrt(centre * (1 - centre) / (weight + 1)) for rule, (weight, centre) in found.items()}
+    strict = [(shrunk[rule] > limit[rule]).alias(f"strict_{rule}") for rule in SOFT_RULES]
+    return hosts.select("*", *[x.alias(f"rate_{rule}") for rule, x in shrunk.items()], *strict, (shrunk["base"] <= max_host_rate).alias("host_kept"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Every document's measures, ``base_failed``, its host's figures and ``kept``."""
+    """Every document's measures and failed rules, its host's figures and verdicts, and ``kept``."""
     ws = Workspace(docs.sparkSession, "quality")
-    measured = ws.table(measure(docs, id_col, text_col, host_col).withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"))), "measured")
+    measured = ws.table(judged(measure(docs, id_col, text_col, host_col)), "measured")
     hosts = host_verdicts(ws.table(host_counts(measured), "hosts"), max_host_rate)
     same = F.col("host").eqNullSafe(F.col("__host"))
     hosts = hosts.withColumnRenamed("host", "__host")
@@ -135,8 +170,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = measured.join(F.broadcast(hosts), same, "left")
     else:
         salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = measured.withColumn("__own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
-    return joined.drop("__host").withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).withColumnRenamed("id", id_col)
+        joined = measured.withColumn("__own", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
+    strict = reduce(or_, [F.col(f"fails_{rule}") & F.col(f"strict_{rule}") for rule in SOFT_RULES])
+    return joined.drop("__host").withColumn("kept", ~F.col("base_failed") & F.col("host_kept") & ~strict).withColumnRenamed("id", id_col)
 
 
 ORACLE = r"""
@@ -151,27 +187,40 @@ repeats AS (
     SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM repeats GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 base AS (
   SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
 judged AS (
-  SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM base),
+  SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, 10 * n_symbols > n_words AS fails_symbols,
+         10 * n_dup_lines > 3 * n_lines AS fails_lines, (word_chars < 3 * n_words OR word_chars > 10 * n_words) AS fails_word_length FROM base),
+rules AS (
+  UNPIVOT (SELECT source, base_failed AS base, fails_symbols AS symbols, fails_lines AS lines, fails_word_length AS word_length FROM judged)
+  ON base, symbols, lines, word_length INTO NAME rule VALUE fails),
 hosts AS (
-  SELECT source, count(*) AS docs, sum(CAST(base_failed AS INT)) AS failed FROM judged GROUP BY source),
+  SELECT rule, source, count(*) AS docs, sum(CAST(fails AS INT)) AS failed FROM rules GROUP BY rule, source),
 prior AS (
-  SELECT CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 100.0 END AS weight,
-         CASE WHEN v > 0 THEN m ELSE p END AS centre
-  FROM (SELECT avg(failed / docs) AS m, var_samp(failed / docs) AS v, sum(failed) / sum(docs) AS p FROM hosts))
+  SELECT rule, CASE WHEN v > 1e-12 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 100.0 END AS weight,
+         CASE WHEN v > 1e-12 THEN m ELSE p END AS centre
+  FROM (SELECT rule, avg(failed / docs) AS m, var_samp(failed / docs) AS v, sum(failed) / sum(docs) AS p FROM hosts GROUP BY rule)),
+rates AS (
+  SELECT rule, source, (failed + centre * weight) / (docs + weight) AS rate, centre + sqrt(centre * (1 - centre) / (weight + 1)) AS lim
+  FROM hosts JOIN prior USING (rule)),
+verdicts AS (
+  SELECT source, bool_or(rule = 'base' AND rate > 0.5) AS host_out, bool_or(rule = 'symbols' AND rate > lim) AS strict_symbols,
+         bool_or(rule = 'lines' AND rate > lim) AS strict_lines, bool_or(rule = 'word_length' AND rate > lim) AS strict_word_length
+  FROM rates GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND (failed + centre * weight) / (docs + weight) <= 0.5) AS kept
-FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
+       NOT (base_failed OR host_out OR (fails_symbols AND strict_symbols) OR (fails_lines AND strict_lines)
+            OR (fails_word_length AND strict_word_length)) AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 

@@ -30,11 +30,40 @@ def test_quality(spark, tmp_path, monkeypatch, limit):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
-        assert r.kept == (not r.base_failed and r.host_kept)
     by = {r.host: r for r in got}
     assert by["src0"].host_kept and not by["odd"].host_kept
     # Shrinking pulls a host's rate towards the others'.
-    assert by["odd"].host_rate < by["odd"].host_failed / by["odd"].host_docs
+    assert by["odd"].rate_base < by["odd"].failed_base / by["odd"].host_docs
+    # Verdicts by brute force.
+    import statistics
+
+    soft = ("symbols", "lines", "word_length")
+    strict = {}
+    for rule in ("base", *soft):
+        fails = lambda r, rule=rule: r.base_failed if rule == "base" else r[f"fails_{rule}"]
+        own = {h: [fails(r) for r in got if r.host == h] for h in by}
+        rates = [sum(x) / len(x) for x in own.values()]
+        m, v = statistics.mean(rates), statistics.variance(rates)
+        weight = max(m * (1 - m) / v - 1, 1.0) if v > 1e-12 else 100.0
+        centre = m if v > 1e-12 else sum(map(sum, own.values())) / len(got)
+        for h, x in own.items():
+            rate = (sum(x) + centre * weight) / (len(x) + weight)
+            strict[rule, h] = rate > (0.5 if rule == "base" else centre + (centre * (1 - centre) / (weight + 1)) ** 0.5)
+    for r in got:
+        assert r.kept == (not r.base_failed and not strict["base", r.host] and not any(r[f"fails_{rule}"] and strict[rule, r.host] for rule in soft))
+
+
+def test_host_that_is_strict_in_a_rule(spark):
+    """A document that fails a soft rule goes only from a host where that is unusually frequent."""
+    clean = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    rows = [(100 * h + i, clean(100 * h + i) + (" # % & $" if i < (30 if h == 7 else 2) else ""), f"h{h}") for h in range(8) for i in range(60)]
+    got = quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.host for r in got if r.strict_symbols} == {"h7"} and all(r.host_kept for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {700 + i for i in range(30)}
+    assert sum(r.fails_symbols and r.kept for r in got) == 14
+
+
+def test_quality_of_nothing(spark, tmp_path):
     assert quality.apply_rules(frame(spark, [], tmp_path / "e")).count() == 0
 
 
