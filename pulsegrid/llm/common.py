@@ -18,15 +18,20 @@ from pulsegrid.session import reachable
 
 #: Most rows of a side that is broadcast; beyond it the join is a shuffle.
 BROADCAST_ROWS = 200_000
+#: Stored (compressed) bytes of input for which there is a fragment.
+FRAGMENT_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a local folder is set.
+    Only in local mode (tests) a local folder is set where none is named; on a cluster
+    that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -109,6 +114,17 @@ def scale_parts(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fragment_count(df: DataFrame, spark: SparkSession, each: int = FRAGMENT_BYTES) -> int:
+    """Into how many fragments keys are cut whose groups a worker holds whole.
+
+    As many as shuffle partitions, and more where the input is large: ``each`` bytes of
+    stored input a fragment, so a group's size doesn't grow with the input. Where the
+    plan doesn't know its size, the number of shuffle partitions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(scale_parts(spark), -(-size // each) if size < 1 << 60 else 0)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts fits in a worker."""
     reachable(spark)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,6 +111,38 @@ def test_jaccard_join_gives_every_link(spark, tmp_path, monkeypatch, n, percent,
     assert {r.n_links for r in ngramjoin.jaccard_join(frame(spark, documents()[60:64], tmp_path / "e"), every_link=True).documents.collect()} == {0}
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        both, x, y = (rng.integers(0, 1 << 63, rng.integers(1, 700), dtype=np.uint64) for _ in range(3))
+        a, b = np.unique(np.concatenate((both, x))), np.unique(np.concatenate((both, y)))
+        u, v = ngramjoin.bitmap(a, len(a)), ngramjoin.bitmap(b, len(b) + int(rng.integers(0, 400)))
+        width = min(len(u), len(v))
+        apart = int(np.bitwise_count(ngramjoin.folded(u[None], width) ^ ngramjoin.folded(v[None], width)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and len(u) * 64 >= 2 * len(a)
+
+
+def test_jaccard_join_of_a_loose_group(spark, tmp_path):
+    """Many edits of one text, about as far apart as the threshold: components as of all pairs."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = f"own{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(w), None, None))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(86)} for i, t, *_ in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    got = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d"), n=5, percent=80).documents.collect()
+    assert {r.doc_id: r.component_id for r in got} == root and 1 < len(set(root.values())) < 110
+
+
 def test_jaccard_join_where_no_hub_fits(spark, tmp_path):
     # Near copies 1 and 2; a much longer document with a smaller id has their n-grams among its rarest.
     words, rest = [f"n{i}" for i in range(100)], [f"m{i}" for i in range(300)]
