@@ -6,23 +6,26 @@ with a smaller id. Strings are judged on the input.
 1. Every window of ``width`` bytes has an anchor: the leftmost of its smallest k-grams
    by hash. Equal windows have equal anchors at equal places, so only windows with one
    anchor need be compared. Neighbouring windows with one anchor are one *unit*: on
-   average a dozen windows, kept as (anchor, hash of all their bytes).
-2. A page (a run of documents of one task) settles equal units among its documents and
-   deals the smallest document's to the anchors' fragments. A fragment tells which
-   units are held whole by a smaller document. Only where one anchor has different
-   units of different documents are their bytes asked for.
+   average a dozen windows.
+2. A page (a run of documents of one task) keeps one of its units of equal bytes, that
+   of its smallest document, and deals it by anchor. A fragment tells which anchors are
+   in more than one document; only those units' bytes are asked for.
 3. Those bytes are dealt by anchor again. A fragment sorts the windows as suffixes
-   (hash-compared merge sort, see ``suffixsort``); a run of equal ones has a smallest
-   document, and every other document's windows in it are repeats.
-4. Pages join both answers by position and cut the bytes out.
+   (hash-compared merge sort, see ``suffixsort``, which compares neighbours' bytes); a
+   run of equal ones has a smallest document, and every other document's windows in it
+   are repeats. No digest decides: equal bytes do, in the page and in the sort.
+4. Pages join the answers by position and cut the bytes out.
 
-Texts wait in their page's file in the shared folder. Anchors whose bytes are asked
-for by very many documents are dealt by window, not by anchor, so they spread.
+Texts wait in their page's file in the shared folder. Anchors with very many units are
+dealt by window, not by anchor, and in SALTS shares; what a share doesn't settle (its
+smallest documents) is sorted once more over all shares. So a passage that a third of
+all documents hold is at most a window a page, and no task has all of them.
 
 Edge cases: null text has no bytes. A text shorter than ``width`` loses nothing. Rows
 of equal id take nothing from each other. A null id counts as larger than every id.
-Repeats within one document alone stay. Kept bytes may split a character: they are
-bytes, not text. Other columns aren't read. An empty table gives an empty result. The
+Repeats within one document alone stay. A very long text is worked on in overlapping
+pieces, but a page holds it whole. Kept bytes may split a character: they are
+bytes, not text. Other columns aren't read, whatever they are called. An empty table gives an empty result. The
 input must give the same rows in the same order when a task is run again, as a stored
 table does.
 """
@@ -40,14 +43,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunkdedup import LAST, merged
-from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, trim, unpack, unpack_ints, unpack_sorted, write_atomically
+from .common import Workspace, fragment_count, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, trim, unpack, unpack_ints, unpack_sorted, write_atomically
 from .suffixsort import _BASE, _BYTE, Suffixes
 
 #: Bytes of a string; of a k-gram; of a page; worked on at once; windows sorted at once.
 WIDTH, GRAM = 50, 20
 PAGE_BYTES, SLICE_BYTES, SORT_WINDOWS = 8 << 20, 1 << 19, 1 << 19
-#: Units of one anchor after which their windows are dealt one by one.
-WIDE_ANCHOR = 20_000
+#: Units of one anchor after which their windows are dealt one by one, in so many shares.
+WIDE_ANCHOR, SALTS = 20_000, 256
+#: In place of a fragment: a row that names a page; a page's repeats.
+PAGE, HITS = -1, -2
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -81,6 +86,9 @@ def least_at(h: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
+digest = xxhash.xxh3_64_intdigest
+
+
 class Units:
     """Units of documents laid end to end: first window, windows, anchor's distance, hashes, document."""
 
@@ -107,12 +115,12 @@ class Units:
         self.anchor = h[at[self.start]]
         flat = data.tobytes()
         ends = (self.start + self.count + WIDTH - 1).tolist()
-        self.body = np.array([xxhash.xxh3_64_intdigest(flat[a:b]) for a, b in zip(self.start.tolist(), ends, strict=True)], np.uint64) >> np.uint64(16)
+        self.body = np.array([digest(flat[a:b]) for a, b in zip(self.start.tolist(), ends, strict=True)], np.uint64)
 
 
-def _cut_long(raw: bytes) -> list[tuple[int, bytes]]:
+def _cut_long(raw: bytes, step: int) -> list[tuple[int, bytes]]:
     """A text in pieces that overlap by WIDTH - 1 bytes, so every window is in one piece."""
-    return [(lo, raw[lo : lo + SLICE_BYTES + WIDTH - 1]) for lo in range(0, max(1, len(raw) - WIDTH + 1), SLICE_BYTES)]
+    return [(lo, raw[lo : lo + step + WIDTH - 1]) for lo in range(0, max(1, len(raw) - WIDTH + 1), step)]
 
 
 _ROWS = pa.schema([("page", pa.int64()), ("frag", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -145,7 +153,8 @@ class _Page:
         self.ids = np.frombuffer(z["ids"], "<i8")
         self.sizes = unpack_ints(z["sizes"]).astype(np.int64)
         self.doc, self.start, self.count, self.lead = (unpack_ints(z[k]).astype(np.int64) for k in ("doc", "start", "count", "lead"))
-        self.doc, self.settled = np.cumsum(self.doc), unpack_ints(z["settled"]).astype(np.int64)
+        self.settled, self.like, self.rep = (unpack_ints(z[k]).astype(np.int64) for k in ("settled", "like", "rep"))
+        self.doc = np.cumsum(self.doc)
         self.offsets = np.append(0, np.cumsum(self.sizes))
         self.text = unpack(z["text"]) if texts else b""
 
@@ -159,7 +168,7 @@ def _pages(folder: str, fragments: int):
     width = np.uint64(-(-(1 << 64) // fragments))
 
     def close(number: int, ids: list[int], raws: list[bytes]) -> Iterator[pa.RecordBatch]:
-        pieces = [(i, lo, part) for i, raw in enumerate(raws) if len(raw) >= WIDTH for lo, part in _cut_long(raw)]
+        pieces = [(i, lo, part) for i, raw in enumerate(raws) if len(raw) >= WIDTH for lo, part in _cut_long(raw, SLICE_BYTES)]
         cols: dict[str, list] = {k: [] for k in ("doc", "start", "count", "lead", "anchor", "body")}
         lo = 0
         while lo < len(pieces):
@@ -179,23 +188,31 @@ def _pages(folder: str, fragments: int):
         own["anchor"], own["body"] = own["anchor"].astype(np.uint64), own["body"].astype(np.uint64)
         docs = np.array(ids, "<i8")
         doc = docs[own["doc"]]
-        # Equal units: only those of the page's smallest document go on.
+        # Of equal units one goes on, of the page's smallest document; equal means equal bytes.
+        text = b"".join(raws)
+        lo = (np.cumsum([0, *(len(r) for r in raws)]))[own["doc"]] + own["start"]
+        hi = lo + own["count"] + WIDTH - 1
         order = np.lexsort((doc, own["body"], own["anchor"]))
-        a, b, d = own["anchor"][order], own["body"][order], doc[order]
+        a, b = own["anchor"][order], own["body"][order]
         head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        least = d[head][np.cumsum(head) - 1] if len(a) else d
-        settled = order[d > least]
-        go = order[d == least]
-        a, b, d = own["anchor"][go], own["body"][go], doc[go]
-        _save(_uri(folder, number), ids=docs.tobytes(), sizes=pack_ints(np.array([len(r) for r in raws])), doc=pack_ints(np.diff(own["doc"], prepend=0)), start=pack_ints(own["start"]), count=pack_ints(own["count"]), lead=pack_ints(own["lead"]), settled=pack_ints(np.sort(settled)), text=pack(b"".join(raws)))
+        first = order[head][np.cumsum(head) - 1] if len(a) else order
+        go = head.copy()
+        again = np.flatnonzero(~head)
+        x, y = order[again], first[again]
+        go[again] = [text[p:q] != text[r:s] for p, q, r, s in zip(lo[x].tolist(), hi[x].tolist(), lo[y].tolist(), hi[y].tolist(), strict=True)]
+        larger = doc[order] > doc[first]
+        settled, like, rep = order[~go & larger], order[~go & ~larger], first[~go & ~larger]
+        go = order[go]
+        a, d = own["anchor"][go], doc[go]
+        _save(_uri(folder, number), ids=docs.tobytes(), sizes=pack_ints(np.array([len(r) for r in raws])), doc=pack_ints(np.diff(own["doc"], prepend=0)), start=pack_ints(own["start"]), count=pack_ints(own["count"]), lead=pack_ints(own["lead"]), settled=pack_ints(np.sort(settled)), like=pack_ints(like), rep=pack_ints(rep), text=pack(text))
         ranked, inverse = np.unique(d, return_inverse=True)
         names = pack_ints(ranked.astype(np.uint64) ^ np.uint64(1 << 63))
         cuts = np.append(np.searchsorted(a, np.arange(fragments, dtype=np.uint64) * width), len(a))
         for f in range(fragments):
             x, y = cuts[f], cuts[f + 1]
             if y > x:
-                yield _rows([(number, f, pack_sorted(a[x:y] - np.uint64(f) * width), pack_ints(b[x:y]), pack_ints(go[x:y]), _two(names, pack_ints(inverse[x:y])))])
-        yield _rows([(number, -1, None, None, None, None)])
+                yield _rows([(number, f, pack_sorted(a[x:y] - np.uint64(f) * width), pack_ints(go[x:y]), _two(names, pack_ints(inverse[x:y])), None)])
+        yield _rows([(number, PAGE, None, None, None, None)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,41 +246,35 @@ def _untwo(x: bytes) -> tuple[bytes, bytes]:
     return x[8 : 8 + n], x[8 + n :]
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """A fragment's units from all pages: a: held by a smaller document; b: bytes wanted; c: wanted by window."""
-    frag = int(table.column("frag")[0].as_py())
-    pages = table.column("page").to_pylist()
-    if frag < 0:
-        return table
-    anchor = np.concatenate([unpack_sorted(x) for x in table.column("a").to_pylist()])
-    body = np.concatenate([unpack_ints(x) for x in table.column("b").to_pylist()])
-    units = [unpack_ints(x) for x in table.column("c").to_pylist()]
-    doc = np.concatenate([(unpack_ints(n) ^ np.uint64(1 << 63)).view(np.int64)[unpack_ints(i).astype(np.int64)] for n, i in map(_untwo, table.column("d").to_pylist())])
-    trim()
-    order = np.lexsort((doc, body, anchor))
-    a, b, d = anchor[order], body[order], doc[order]
-    del anchor, body, doc
-    new_a = np.concatenate(([True], a[1:] != a[:-1]))
-    new = new_a | np.concatenate(([True], b[1:] != b[:-1]))
-    of, of_a = np.cumsum(new) - 1, np.cumsum(new_a) - 1
-    least = d[new]
-    whole = d > least[of]
-    # An anchor's distinct units, and whether their smallest documents differ.
-    first_a = np.flatnonzero(new_a)
-    bodies = np.bincount(of_a[new])
-    lo, hi = np.minimum.reduceat(least, of[first_a]), np.maximum.reduceat(least, of[first_a])
-    mixed = (bodies > 1) & (lo != hi)
-    want = ~whole & mixed[of_a]
-    wide = want & (bodies > WIDE_ANCHOR)[of_a]
-    flags = np.zeros(len(order), np.uint8)
-    flags[order] = whole + 2 * (want & ~wide) + 4 * wide
-    rows, at = [], 0
-    for page, u in zip(pages, units, strict=True):
-        f = flags[at : at + len(u)]
-        at += len(u)
-        if f.any():
-            rows.append((page, frag, *(pack_ints(u[f == k]) for k in (1, 2, 4)), None))
-    return pa.Table.from_batches([_rows(rows)])
+def _wanted(wide: int):
+    """A fragment's units from all pages: a: whose bytes are wanted, as another document has the anchor; b: wanted by window."""
+
+    def run(table: pa.Table) -> pa.Table:
+        frag = int(table.column("frag")[0].as_py())
+        pages = table.column("page").to_pylist()
+        if frag < 0:
+            return table
+        anchor = np.concatenate([unpack_sorted(x) for x in table.column("a").to_pylist()])
+        units = [unpack_ints(x) for x in table.column("b").to_pylist()]
+        doc = np.concatenate([(unpack_ints(n) ^ np.uint64(1 << 63)).view(np.int64)[unpack_ints(i).astype(np.int64)] for n, i in map(_untwo, table.column("c").to_pylist())])
+        trim()
+        order = np.argsort(anchor, kind="stable")
+        a, d = anchor[order], doc[order]
+        del anchor, doc
+        starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        sizes = np.diff(np.append(starts, len(a)))
+        want = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+        flags = np.zeros(len(order), np.uint8)
+        flags[order] = np.repeat(want + (want & (sizes > wide)), sizes)
+        rows, at = [], 0
+        for page, u in zip(pages, units, strict=True):
+            f = flags[at : at + len(u)]
+            at += len(u)
+            if f.any():
+                rows.append((page, frag, *(pack_ints(u[f == k]) for k in (1, 2)), None, None))
+        return pa.Table.from_batches([_rows(rows)])
+
+    return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -282,15 +293,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _ask(folder: str, fragments: int):
-    """A page's first answers: what is settled is kept in a file; wanted bytes are dealt out."""
+    """The wanted units' bytes, dealt by anchor; those wanted by window, by share and window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _gather(batches):
             answers = [r for r in rows if r[0] >= 0]
             join = lambda k, answers=answers: np.concatenate([np.zeros(0, np.int64), *(unpack_ints(r[k]).astype(np.int64) for r in answers)])
-            whole, want, wide = join(1), join(2), join(3)
+            want, wide = join(1), join(2)
             page = _Page(folder, number)
-            _save(_uri(folder, number, "whole"), whole=pack_ints(np.sort(whole)))
             # (unit, first window, windows, anchor's distance) of what is asked.
             own = [np.column_stack((want, np.zeros(len(want), np.int64), page.count[want], page.lead[want]))]
             if len(wide):
@@ -302,20 +312,23 @@ def _ask(folder: str, fragments: int):
             lo = page.offsets[page.doc[own[:, 0]]] + page.start[own[:, 0]] + own[:, 1]
             texts = [page.text[a : a + n] for a, n in zip(lo.tolist(), (own[:, 2] + WIDTH - 1).tolist(), strict=True)]
             lead = own[:, 3].tolist()
-            keys = [xxhash.xxh32_intdigest(t if i >= len(want) else t[p : p + GRAM]) % fragments for i, (t, p) in enumerate(zip(texts, lead, strict=True))]
-            order = np.argsort(np.array(keys, np.int64), kind="stable")
-            cuts = np.searchsorted(np.array(keys, np.int64)[order], np.arange(fragments + 1))
+            keys = np.array([xxhash.xxh32_intdigest(t if i >= len(want) else t[p : p + GRAM]) % fragments for i, (t, p) in enumerate(zip(texts, lead, strict=True))], np.int64)
+            keys[len(want) :] += fragments * (1 + number * 0x9E3779B1 % SALTS)
+            order = np.argsort(keys, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(keys[order], prepend=-1)), len(keys))
             ids = page.ids[page.doc[own[:, 0]]]
-            for f in range(fragments):
-                at = order[cuts[f] : cuts[f + 1]]
-                if len(at):
-                    meta = np.concatenate((own[at].T.ravel(), ids[at])).astype("<i8").tobytes()
-                    yield _rows([(number, f, pack(meta), pack(b"".join([texts[i] for i in at.tolist()])), None, None)])
-            yield _rows([(number, -1, None, None, None, None)])
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield _rows([(number, int(keys[order[x]]), *_dealt(own, ids, texts, order[x:y]), None, None)])
+            yield _rows([(number, PAGE, None, None, None, None)])
 
     return run
 
 
+def _dealt(own: np.ndarray, ids: np.ndarray, texts: list[bytes], at: np.ndarray) -> tuple[bytes, bytes]:
+    """Pieces of text with (unit, first window, windows, anchor's distance, document) of each."""
+    return pack(np.concatenate((own[at].T.ravel(), ids[at])).astype("<i8").tobytes()), pack(b"".join([texts[i] for i in at.tolist()]))
+
+
 def _met_again(keys: np.ndarray) -> np.ndarray:
     """Which keys are there twice or more."""
     order = np.argsort(keys)
@@ -327,10 +340,18 @@ def _met_again(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_windows(table: pa.Table) -> pa.Table:
+def _sorted_windows(fragments: int, at_once: int):
+    """As ``_repeats``; a share of wide anchors' windows also hands on what it didn't settle, for the sort over all shares."""
+
+    def run(table: pa.Table) -> pa.Table:
+        frag = int(table.column("frag")[0].as_py())
+        return table if frag < 0 else _repeats(table, frag % fragments if frag >= fragments else None, at_once)
+
+    return run
+
+
+def _repeats(table: pa.Table, hand_to: int | None, at_once: int) -> pa.Table:
     """A fragment's pieces of text: their windows, sorted as suffixes; windows of larger documents in a run of equal ones."""
-    if int(table.column("frag")[0].as_py()) < 0:
-        return table
     pages, metas, texts = table.column("page").to_pylist(), [], []
     for m, t in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
         metas.append(np.frombuffer(unpack(m), "<i8").reshape(5, -1))
@@ -345,8 +366,8 @@ def _sorted_windows(table: pa.Table) -> pa.Table:
     total = np.cumsum(count[pieces])
     hit_piece, hit_window, lo = [], [], 0
     while lo < len(pieces):
-        # Whole groups of one anchor, some SORT_WINDOWS windows at a time.
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SORT_WINDOWS, side="right"))
+        # Whole groups of one anchor, some at_once windows at a time.
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + at_once, side="right"))
         hi = max(hi, lo + 1)
         while hi < len(pieces) and grams[pieces[hi]] == grams[pieces[hi - 1]]:
             hi += 1
@@ -393,10 +414,30 @@ def _sorted_windows(table: pa.Table) -> pa.Table:
         for i, number in enumerate(pages):
             a, b = cuts[i], cuts[i + 1]
             if b > a:
-                rows.append((number, 0, pack_sorted(unit[p[a:b]]), pack_ints(skip[p[a:b]] + w[a:b]), None, None))
+                rows.append((number, HITS, pack_sorted(unit[p[a:b]]), pack_ints(skip[p[a:b]] + w[a:b]), None, None))
+    if hand_to is not None:  # pieces of one window each
+        left = np.ones(len(page), bool)
+        if hit_piece:
+            left[np.concatenate(hit_piece)] = False
+        own = np.column_stack((unit, skip, count, lead))
+        texts = [flat[a : a + WIDTH] for a in base.tolist()]
+        for i, number in enumerate(pages):
+            at = np.flatnonzero(left & (page == i))
+            if len(at):
+                rows.append((number, hand_to, *_dealt(own, doc, texts, at), None, None))
     return pa.Table.from_batches([_rows(rows)])
 
 
+def _followers(page: _Page, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit those of the same document that have its bytes, in a row, and how many."""
+    order = np.argsort(page.rep, kind="stable")
+    rep = page.rep[order]
+    lo, hi = np.searchsorted(rep, units), np.searchsorted(rep, units, side="right")
+    n = hi - lo
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return page.like[order][at], n
+
+
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
 
@@ -406,12 +447,13 @@ def _finish(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _gather(batches):
             page = _Page(folder, number)
-            whole = np.concatenate((page.settled, unpack_ints(_load(_uri(folder, number, "whole"))["whole"]).astype(np.int64)))
-            units = [unpack_sorted(r[1]).astype(np.int64) for r in rows if r[0] >= 0]
-            windows = [unpack_ints(r[2]).astype(np.int64) for r in rows if r[0] >= 0]
-            u = np.concatenate((whole, *units))
+            whole, hits, none = page.settled, [r for r in rows if r[0] == HITS], np.zeros(0, np.int64)
+            units = np.concatenate((none, *(unpack_sorted(r[1]).astype(np.int64) for r in hits)))
+            windows = np.concatenate((none, *(unpack_ints(r[2]).astype(np.int64) for r in hits)))
+            more, n = _followers(page, units)
+            u = np.concatenate((whole, units, more))
             doc = page.doc[u]
-            start = page.start[u] + np.concatenate((np.zeros(len(whole), np.int64), *windows))
+            start = page.start[u] + np.concatenate((np.zeros(len(whole), np.int64), windows, np.repeat(windows, n)))
             stop = start + WIDTH + np.concatenate((page.count[whole] - 1, np.zeros(len(u) - len(whole), np.int64)))
             order = np.lexsort((start, doc))
             doc, start, stop = doc[order], start[order], stop[order]
@@ -438,13 +480,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, n_bytes, spans, kept)``: removed byte ranges and the remaining bytes of each document."""
     spark = docs.sparkSession
     small_batches(spark, 256)
-    parts = 2 * scale_parts(spark)  # two fragments a partition: a task works on one at a time
+    fragments = 2 * fragment_count(docs.select(text_col), spark)  # two fragments a partition: a task works on one at a time
+    parts = 2 * scale_parts(spark)
     folder = Workspace(spark, "suffixes").root
-    by_fragment = ["frag", F.when(F.col("frag") < 0, F.col("page")).alias("own")]  # rows that only name a page stay apart
-    units = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pages(folder, parts), _DDL)
-    settled = units.groupBy(*by_fragment).applyInArrow(_settle, _DDL)
-    asked = settled.repartition(parts, "page").sortWithinPartitions("page", "frag").mapInArrow(_ask(folder, parts), _DDL)
-    found = asked.groupBy(*by_fragment).applyInArrow(_sorted_windows, _DDL)
+    by_fragment = ["frag", F.when(F.col("frag") < 0, F.col("page")).alias("own")]  # rows of a page alone stay apart
+    units = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pages(folder, fragments), _DDL)
+    wanted = units.groupBy(*by_fragment).applyInArrow(_wanted(WIDE_ANCHOR), _DDL)
+    asked = wanted.repartition(parts, "page").sortWithinPartitions("page", "frag").mapInArrow(_ask(folder, fragments), _DDL)
+    found = asked.groupBy(*by_fragment).applyInArrow(_sorted_windows(fragments, SORT_WINDOWS), _DDL)
+    found = found.groupBy(*by_fragment).applyInArrow(_sorted_windows(fragments, SORT_WINDOWS), _DDL)
     done = found.repartition(parts, "page").sortWithinPartitions("page", "frag").mapInArrow(_finish(folder), "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
     return done.withColumnRenamed("id", id_col)
 

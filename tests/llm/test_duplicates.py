@@ -217,7 +217,7 @@ def brute_substrings(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("wide", [20_000, 1])
+@pytest.mark.parametrize("wide", [20_000, 0])
 def test_substrings(spark, tmp_path, monkeypatch, wide):
     monkeypatch.setattr(suffixdedup, "WIDE_ANCHOR", wide)
     monkeypatch.setattr(suffixdedup, "PAGE_BYTES", 4000)
@@ -229,6 +229,46 @@ def test_substrings(spark, tmp_path, monkeypatch, wide):
     assert got == brute_substrings(rows)
 
 
+def local_substrings(rows, folder, monkeypatch, fragments=3, wide=20_000):
+    """The operator's steps without Spark, in this process."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+
+    def grouped(batches, by_page=False):
+        table = pa.Table.from_batches(list(batches), suffixdedup._ROWS).to_pylist()
+        out = defaultdict(list)
+        for r in table:
+            out[r["page"] if by_page else (r["frag"], r["page"] if r["frag"] < 0 else None)].append(r)
+        return [pa.Table.from_pylist(sorted(out[k], key=lambda r: r["frag"]), suffixdedup._ROWS) for k in sorted(out, key=str)]
+
+    def every(f, tables):
+        return [b for t in tables for b in f(t).to_batches()]
+
+    batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "t": [r[1] for r in rows]})
+    at = suffixdedup._pages(folder, fragments)(iter([batch]))
+    at = every(suffixdedup._wanted(wide), grouped(at))
+    at = suffixdedup._ask(folder, fragments)(b for t in grouped(at, True) for b in t.to_batches())
+    for _ in range(2):
+        at = every(suffixdedup._sorted_windows(fragments, 300), grouped(at))
+    out = suffixdedup._finish(folder)(b for t in grouped(at, True) for b in t.to_batches())
+    return {r["id"]: (r["n_bytes"], sum(x["stop"] - x["start"] for x in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for b in out for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize("wide", [20_000, 0])
+def test_substrings_when_digests_collide(tmp_path, monkeypatch, wide):
+    """Every unit has the same digest, and k-grams one of four hashes: bytes decide all the same."""
+    monkeypatch.setattr(suffixdedup, "digest", lambda raw: 7)
+    plain = suffixdedup.gram_hashes
+    monkeypatch.setattr(suffixdedup, "gram_hashes", lambda data: plain(data) >> np.uint64(62) << np.uint64(62))
+    monkeypatch.setattr(suffixdedup, "PAGE_BYTES", 6000)
+    rows = [(d, t) for d, t, *_ in unique(documents(n=40)) if len(t or "") < 3000] + [(900 + i, "ab" * (30 + i)) for i in range(4)]
+    got = local_substrings(rows, f"file://{tmp_path}", monkeypatch, wide=wide)
+    assert got == brute_substrings(rows) and sum(x[1] for x in got.values()) > 1000
+
+
 def test_substrings_odd_rows(spark, tmp_path):
     rows = documents()
     got = suffixdedup.drop_repeats(frame(spark, rows, tmp_path / "d")).collect()
