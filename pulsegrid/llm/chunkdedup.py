@@ -2,21 +2,27 @@
 
 A place is a cut where the gear hash of the last 32 bytes has MASK_BITS zero bits, so
 cuts depend on nearby bytes only: an insertion moves the cuts it touches and no others.
+Where no such place is found for MAX_GAP bytes (text of few distinct hashes), the places
+are cuts whose hash is the smallest within REACH bytes to both sides, ties included.
 From every cut a variable chunk reaches to the first cut at least ``min_bytes`` further
-on. Chunks are compared by 96-bit digest; a chunk that a document with a smaller id
-also holds is a repeat. The union of a document's repeated chunks is its repeated text,
-at most a cut's distance short of the shared passage at either end.
+on; a shorter text is one chunk. Chunks are compared by 128-bit digest; a chunk that a
+document with a smaller id also holds is a repeat. The union of a document's repeated
+chunks is its repeated text, at most a cut's distance short of the shared passage at
+either end.
 
 Digests travel as packed arrays by (page, fragment of the digest range), a page being
 a run of documents of one task, and the answers go back to the page by position. A
-chunk that a third of all documents hold is one run in one fragment's arrays.
-
-Edge cases: null text has no bytes. Repeats within one document, and between rows of
-equal id, are no repeats. A null id counts as larger than every id. A text shorter than
-``min_bytes`` has no chunk. Cuts inside a multi-byte character move to its first byte,
-so what is left is valid text. Long texts are cut whole. Other columns aren't read. An
-empty table gives an empty result. The input must give the same rows in the same order
-when a task is run again, as a stored table does.
+fragment's row names only the documents whose digests it has, so many fragments don't
+repeat the page's ids. A chunk that a third of all documents hold is one run in one
+fragment's arrays, once for each page: a page sends its smallest document's.
+
+Edge cases: null or empty text has no bytes and no chunk. Repeats within one document,
+and between rows of equal id, are no repeats; of several holders the smallest id keeps
+its chunk. A null id counts as larger than every id. Cuts inside a multi-byte character
+move to its first byte, so what is left is valid text. Long texts are cut whole, a page
+holds their cuts. Other columns aren't read, whatever they are called. An empty table
+gives an empty result. The input must give the same rows in the same order when a task
+is run again, as a stored table does.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack_ints, pack_sorted, scale_parts, small_batches, unpack_ints, unpack_sorted
+from .common import fragment_count, pack_ints, pack_sorted, scale_parts, small_batches, unpack_ints, unpack_sorted
 
 #: A cut every 2**MASK_BITS bytes on average, at least MIN_STEP apart.
 MASK_BITS, MIN_STEP = 4, 8
+#: Bytes without a cut from which on smallest hashes are cuts, within so many bytes to both sides.
+MAX_GAP, REACH = 128, 24
 #: Bytes of a chunk, at least: about two dozen words.
 MIN_BYTES = 128
-PAGE_CHUNKS = 2_000_000
+PAGE_CHUNKS = 1_000_000
 #: A null id, in packed ids.
 LAST = (1 << 63) - 1
 _GEAR = np.random.default_rng(20240601).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
@@ -49,11 +57,22 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def smallest_places(h: np.ndarray) -> np.ndarray:
+    """Places whose hash is no larger than any within REACH to both sides."""
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(h, REACH, constant_values=np.iinfo(h.dtype).max), 2 * REACH + 1)
+    return np.flatnonzero(h == near.min(axis=1))
+
+
 def cut_places(data: np.ndarray) -> np.ndarray:
     """Cuts of a text, with its start and end."""
     if not len(data):
         return np.zeros(1, np.int64)
-    found = np.flatnonzero((gear_hash(data) >> np.uint32(32 - MASK_BITS)) == 0) + 1
+    h = gear_hash(data)
+    found = np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0) + 1
+    edges = np.concatenate(([0], found, [len(data)]))
+    gaps = np.flatnonzero(np.diff(edges) > MAX_GAP)
+    if len(gaps):
+        found = np.sort(np.concatenate([found, *(edges[g] + 1 + smallest_places(h[edges[g] : edges[g + 1]]) for g in gaps.tolist())]))
     found = found[found < len(data)]
     for _ in range(3):
         found = found - ((data[found] & 0xC0) == 0x80)
@@ -68,6 +87,8 @@ def cut_places(data: np.ndarray) -> np.ndarray:
 
 def chunk_ranges(data: np.ndarray, min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of a text's chunks."""
+    if 0 < len(data) < min_bytes:
+        return np.zeros(1, np.int64), np.array([len(data)])
     places = cut_places(data)
     end = np.searchsorted(places, places + min_bytes)
     ok = end < len(places)
@@ -87,22 +108,44 @@ def _head(ids: list[int], counts: list[int]) -> bytes:
     return np.array(ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes()
 
 
+def _joined(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _parted(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def _pages(fragments: int, min_bytes: int):
     """Documents to their pages' chunk digests by fragment. Fragment 0 also has every chunk's range."""
     width = np.uint64(-(-(1 << 64) // fragments))
 
     def close(page: int, ids, sizes, counts, starts, ends, digests) -> Iterator[pa.RecordBatch]:
         d = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-        order = np.argsort(d[:, 0])
-        h, g = d[order, 0], d[order, 1] >> np.uint64(32)
+        doc = np.repeat(np.array(ids, np.int64), counts)
+        order = np.lexsort((doc, d[:, 1], d[:, 0]))
+        h, g, doc = d[order, 0], d[order, 1], doc[order]
+        # Of equal digests the page's smallest document's goes on; the others follow its answer or are repeats.
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))) if len(h) else np.zeros(0, bool)
+        of = np.cumsum(new) - 1
+        least = doc[new][of] if len(h) else doc
+        known, same = order[doc > least], ~new & (doc == least)
+        follow = pack_ints(order[same]), pack_ints(order[new][of[same]])
+        h, g, order, doc = h[new], g[new], order[new], doc[new]
         at = np.append(np.searchsorted(h, np.arange(fragments, dtype=np.uint64) * width), len(h))
-        head = _head(ids, counts)
         spans = pack_ints(np.array(sizes)), pack_ints(np.concatenate(starts)), pack_ints(np.concatenate(ends) - np.concatenate(starts))
-        yield _batch([(page, -1, head, *spans)])
+        yield _batch([(page, -1, _joined(_head(ids, counts), pack_ints(known), *follow), *spans)])
         for f in range(fragments):
             lo, hi = at[f], at[f + 1]
             if hi > lo:
-                yield _batch([(page, f, head, pack_sorted(h[lo:hi] - np.uint64(f) * width), g[lo:hi].astype("<u4").tobytes(), pack_ints(order[lo:hi]))])
+                names, number = np.unique(doc[lo:hi], return_inverse=True)
+                head = _joined(names.astype("<i8").tobytes(), pack_ints(number))
+                yield _batch([(page, f, head, pack_sorted(h[lo:hi] - np.uint64(f) * width), g[lo:hi].astype("<u8").tobytes(), pack_ints(order[lo:hi]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,12 +178,8 @@ def _mark(table: pa.Table) -> pa.Table:
         return table
     units = [unpack_ints(b) for b in table.column("u").to_pylist()]
     h = np.concatenate([unpack_sorted(b) for b in table.column("h").to_pylist()])
-    g = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("g").to_pylist()])
-    docs = []
-    for head, u in zip(table.column("head").to_pylist(), units, strict=True):
-        both = np.frombuffer(head, "<i8").reshape(2, -1)
-        docs.append(both[0][np.searchsorted(np.cumsum(both[1]), u.astype(np.int64), side="right")])
-    doc = np.concatenate(docs)
+    g = np.concatenate([np.frombuffer(b, "<u8") for b in table.column("g").to_pylist()])
+    doc = np.concatenate([np.frombuffer(names, "<i8")[unpack_ints(n).astype(np.int64)] for names, n in map(_parted, table.column("head").to_pylist())])
     order = np.lexsort((g, h))
     hs, gs, ds = h[order], g[order], doc[order]
     starts = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1]))))
@@ -173,10 +212,13 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
     def close(head: bytes, sizes, starts, lengths, hits) -> Iterator[pa.RecordBatch]:
-        ids, counts = np.frombuffer(head, "<i8").reshape(2, -1)
+        named, *rest = _parted(head)
+        ids, counts = np.frombuffer(named, "<i8").reshape(2, -1)
+        known, follow, lead = (unpack_ints(x).astype(np.int64) for x in rest)
         hit = np.zeros(len(starts), bool)
-        for u in hits:
+        for u in (known, *hits):
             hit[u.astype(np.int64)] = True
+        hit[follow] = hit[lead]
         at, rows = 0, []
         for doc, size, n in zip(ids.tolist(), sizes.tolist(), counts.tolist(), strict=True):
             own = hit[at : at + n]
@@ -205,8 +247,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id_col, n_bytes, n_removed, n_spans, spans)``: byte ranges of UTF-8 text that repeat a smaller document's."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = scale_parts(spark)
-    pages = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pages(parts, min_bytes), _DDL)
+    fragments, parts = fragment_count(docs.select(text_col), spark), scale_parts(spark)
+    pages = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pages(fragments, min_bytes), _DDL)
     # Ranges (fragment -1) are dealt by page; they only pass through.
     marked = pages.groupBy("frag", F.when(F.col("frag") < 0, F.col("page")).alias("own")).applyInArrow(_mark, _DDL)
     dealt = marked.repartition(parts, "page").sortWithinPartitions("page", "frag")

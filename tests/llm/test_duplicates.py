@@ -299,30 +299,63 @@ def test_suffix_collision_is_sorted_by_bytes(monkeypatch):
     assert [text[i * 4 : i * 4 + 4].tobytes() for i in order] == [b"abcd", b"abcd", b"abce", b"abcz"] and same.tolist() == [False, True, False, False]
 
 
+def naive_chunks(raw, least=128):
+    """Chunks by the rolling definition, a byte at a time."""
+    if 0 < len(raw) < least:
+        return [(0, len(raw))]
+    h, hashes = 0, []
+    for b in raw:
+        h = (h << 1) + int(chunkdedup._GEAR[b]) & 0xFFFFFFFF
+        hashes.append(h)
+    cuts = [i + 1 for i, x in enumerate(hashes) if x >> 28 == 0]
+    for a, b in zip([0, *cuts], [*cuts, len(raw)]):
+        if b - a > 128:
+            own = hashes[a:b]
+            cuts += [a + i + 1 for i, x in enumerate(own) if x == min(own[max(0, i - 24) : i + 25])]
+    places = [0]
+    for c in sorted(cuts):
+        if c < len(raw):
+            while raw[c] & 0xC0 == 0x80:
+                c -= 1
+            if c - places[-1] >= 8:
+                places.append(c)
+    places.append(len(raw))
+    out = []
+    for a in places:
+        far = [b for b in places if b - a >= least]
+        if far:
+            out.append((a, far[0]))
+    return out
+
+
 def brute_chunks(rows):
-    first = {}
+    last = 1 << 70
+    first, cut = {}, []
     for d, t, *_ in rows:
         raw = (t or "").encode()
-        for a, b in zip(*chunkdedup.chunk_ranges(np.frombuffer(raw, np.uint8))):
-            k = raw[a:b]
-            first[k] = min(first.get(k, chunkdedup.LAST), chunkdedup.LAST if d is None else d)
+        cut.append([(a, b, raw[a:b]) for a, b in naive_chunks(raw)])
+        for *_, k in cut[-1]:
+            first[k] = min(first.get(k, last), last if d is None else d)
     out = []
-    for d, t, *_ in rows:
+    for (d, t, *_), own in zip(rows, cut):
         raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for a, b in zip(*chunkdedup.chunk_ranges(np.frombuffer(raw, np.uint8))):
-            if first[raw[a:b]] < (chunkdedup.LAST if d is None else d):
-                gone[a:b] = True
-        out.append((d, len(raw), int(gone.sum())))
+        gone = np.zeros(len(raw) + 2, bool)
+        for a, b, k in own:
+            if first[k] < (last if d is None else d):
+                gone[a + 1 : b + 1] = True
+        starts, ends = np.flatnonzero(~gone[:-1] & gone[1:]).tolist(), np.flatnonzero(gone[:-1] & ~gone[1:]).tolist()
+        out.append((d, len(raw), int(gone.sum()), tuple(zip(starts, ends))))
     return out
 
 
 def test_chunks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chunkdedup, "PAGE_CHUNKS", 60)
-    rows = documents()
+    rows = [r for r in documents() if len(r[1] or "") < 5000]
+    rows += [(950, "short text that comes twice", None, None), (951, "short text that comes twice", None, None), (952, "z " * 300, None, None), (953, "é" * 400, None, None), (954, "ab" * 90 + "é" * 300, None, None)]
     docs = frame(spark, rows, tmp_path / "d")
     got = chunkdedup.repeated_spans(docs).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got) == Counter(brute_chunks(rows))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, tuple(tuple(x) for x in r.spans)) for r in got) == Counter(brute_chunks(rows))
+    assert all(r.n_spans == len(r.spans) for r in got)
     by = {r.doc_id: r for r in got}
     # The shared passage of sixty words is found in every document but the first that has it.
     assert not by[3].n_spans and all(by[i].n_removed > 100 for i in range(9, 60, 6))
@@ -333,6 +366,35 @@ def test_chunks(spark, tmp_path, monkeypatch):
     assert all(len(kept[d].encode()) == len(texts[d].encode()) - by[d].n_removed for d in kept if texts[d] and d is not None)
 
 
+def test_many_fragments_send_little_more():
+    """A page's rows for 8 and for 512 fragments."""
+    from types import SimpleNamespace
+    from unittest.mock import patch
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(900)), "t": [" ".join(rng.choice(words) for _ in range(300)) for _ in range(900)]})
+    size = {}
+    with patch("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0)):
+        for n in (8, 512):
+            size[n] = sum(len(r[c] or b"") for b in chunkdedup._pages(n, 128)(iter([batch])) for r in b.to_pylist() for c in ("head", "h", "g", "u"))
+    assert size[512] < 1.5 * size[8]
+
+
+def test_periodic_passages_are_found():
+    rng = np.random.default_rng(9)
+    for period in (1, 2, 5, 13, 31, 50, 200):
+        unit = rng.integers(97, 100, period).astype(np.uint8)
+        passage = np.tile(unit, 2 + 700 // period)[:700]
+        cuts = []
+        for _ in range(2):
+            text = np.concatenate((rng.integers(97, 123, rng.integers(200, 400)).astype(np.uint8), passage, rng.integers(97, 123, 300).astype(np.uint8)))
+            cuts.append({text[a:b].tobytes() for a, b in zip(*chunkdedup.chunk_ranges(text))})
+        assert cuts[0] & cuts[1], period
+
+
 def test_cuts_resist_shifts():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 123, 4000).astype(np.uint8)
