@@ -4,16 +4,20 @@
    its distinct words and keeps each document as a sequence of those numbers.
 2. The pages' words are dealt by word hash. Each bucket merges them, encodes every
    distinct word once and answers each page in the page's own word order.
-3. Ids join back by position: number -> word's ids. Decoding joins ids with the
-   vocabulary's id-to-piece table (its size is the vocabulary's, never the data's).
+3. Decoding joins the ids that a page has, each once, with the vocabulary's id-to-piece
+   table (broadcast: its size is the vocabulary's, never the data's). A page gets its
+   pieces as one row, of at most as many pieces as the vocabulary has.
+4. Ids and pieces join back by position: number -> word's ids and text.
 
-Only distinct words are shuffled, packed; documents wait in their page's file, so a
-worker holds one page's words and one chunk of texts. The input must give the same
+Only distinct words and ids are shuffled, packed; documents wait in their page's file,
+so a worker holds one page's words and one chunk of texts. The input must give the same
 rows in the same order when a task is run again, as a stored table does.
 
-Edge cases: null text is empty; an empty text has no ids and decodes to ''. Null,
-repeated or tied ids are carried through, one output row per input row. Other input
-columns are not read. An empty table gives an empty result.
+Edge cases: null text is empty; an empty text has no ids and decodes to ''. An id
+without a piece decodes to ''. Null, repeated or tied ids are carried through, one
+output row per input row. A very long text is a chunk of its own, held whole by one
+worker. Other input columns are not read, whatever they are called. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Workspace, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, trim, unpack, unpack_ints, unpack_sorted, write_atomically
+from .common import Workspace, fragment_count, open_fs, pack, pack_ints, pack_sorted, scale_parts, small_batches, trim, unpack, unpack_ints, unpack_sorted, write_atomically
 from .wordbpe import default_vocabulary, encoder
 
 #: Words and distinct words after which a page is closed; they bound a worker's memory.
@@ -87,7 +91,7 @@ def _split_pages(path: str, folder: str, buckets: int, schema: pa.Schema, kind:
     """Documents to the distinct words of their pages, a row for each page and bucket."""
 
     def row(page: int, bucket: int, at: np.ndarray, words: list[str]) -> pa.RecordBatch:
-        values = (page, bucket, pack_sorted(at), pack("\n".join(words).encode()), None)
+        values = (page, bucket, pack_sorted(at), pack("\n".join(words).encode()), None, None)
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
     def close(page: _Page) -> Iterator[pa.RecordBatch]:
@@ -145,7 +149,9 @@ def _encode_bucket(path: str, schema: pa.Schema):
             cols["bucket"].append(None)
             cols["a"].append(slots)
             cols["b"].append(pack_ints(np.array([len(x) // size for x in found])))
-            cols["c"].append(pack_ints(np.frombuffer(b"".join(found), enc.dtype)))
+            ids = np.frombuffer(b"".join(found), enc.dtype)
+            cols["c"].append(pack_ints(ids))
+            cols["d"].append(np.unique(ids).tolist())
         return pa.table({f.name: pa.array(cols[f.name], f.type) for f in schema}, schema=schema)
 
     return run
@@ -154,8 +160,9 @@ def _encode_bucket(path: str, schema: pa.Schema):
 class _Words:
     """A page's words by number: their ids, and their pieces joined by one space."""
 
-    def __init__(self, pieces: list[str]):
-        self.pieces, self.parts = pieces, []
+    def __init__(self):
+        self.pieces: dict[int, str] = {}
+        self.parts: list[tuple] = []
 
     def add(self, slots: bytes, counts: bytes, ids: bytes) -> None:
         self.parts.append((unpack_sorted(slots), unpack_ints(counts), unpack_ints(ids)))
@@ -175,7 +182,7 @@ class _Words:
         self.parts = []
 
 
-def _join_back(path: str, folder: str, schema: pa.Schema):
+def _join_back(folder: str, schema: pa.Schema):
     """Answers sorted by page: each page's documents get their ids and their decoded text."""
 
     def texts(page: int, words: _Words) -> Iterator[pa.RecordBatch]:
@@ -200,16 +207,17 @@ def _join_back(path: str, folder: str, schema: pa.Schema):
         return pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), lists.cast(schema.field(1).type), pa.array(decoded, pa.string())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        pieces = [enc.tokenizer.id_to_token(i) or "" for i in range(enc.tokenizer.get_vocab_size(with_added_tokens=True))]
-        page, words = None, _Words(pieces)
+        page, words = None, _Words()
         for batch in batches:
-            for number, a, b, c in zip(*(batch.column(k).to_pylist() for k in ("page", "a", "b", "c")), strict=True):
+            for number, a, b, c, own, pieces in zip(*(batch.column(k).to_pylist() for k in ("page", "a", "b", "c", "d", "pieces")), strict=True):
                 if number != page:
                     if page is not None:
                         yield from texts(page, words)
-                    page, words = number, _Words(pieces)
-                words.add(a, b, c)
+                    page, words = number, _Words()
+                if pieces is not None:
+                    words.pieces = dict(zip(own, pieces, strict=True))
+                else:
+                    words.add(a, b, c)
         if page is not None:
             yield from texts(page, words)
             del words
@@ -228,15 +236,29 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(spark)
     path = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType
-    buckets = scale_parts(spark)
+    buckets = fragment_count(docs.select(text_col), spark)
     ws = Workspace(spark, "bpe")
-    packed = T.StructType([T.StructField(n, t) for n, t in (("page", T.LongType()), ("bucket", T.IntegerType()), ("a", T.BinaryType()), ("b", T.BinaryType()), ("c", T.BinaryType()))])
+    packed = T.StructType([T.StructField(n, t) for n, t in (("page", T.LongType()), ("bucket", T.IntegerType()), ("a", T.BinaryType()), ("b", T.BinaryType()), ("c", T.BinaryType()), ("d", T.ArrayType(T.IntegerType())))])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in packed])
     words = docs.select(id_col, text_col).mapInArrow(_split_pages(path, ws.root, buckets, arrow, to_arrow_type(kind)), packed)
-    answers = words.groupBy("bucket").applyInArrow(_encode_bucket(path, arrow), packed)
-    dealt = answers.repartition(buckets, "page").sortWithinPartitions("page")
+    answers = ws.table(words.groupBy("bucket").applyInArrow(_encode_bucket(path, arrow), packed), "answers")
+    # Decoding: the distinct ids of each page meet the id-to-piece table.
+    pieces = F.broadcast(ws.table(spark.createDataFrame(piece_table(path)), "pieces"))
+    met = answers.select("page", F.explode("d").alias("id")).distinct().join(pieces, "id", "left")
+    met = met.groupBy("page").agg(F.collect_list(F.struct("id", F.coalesce("piece", F.lit("")).alias("piece"))).alias("met"))
+    none = [F.lit(None).cast(packed[c].dataType).alias(c) for c in ("bucket", "a", "b", "c")]
+    met = met.select("page", *none, F.col("met.id").alias("d"), F.col("met.piece").alias("pieces"))
+    rows = answers.drop("d").withColumn("d", F.lit(None).cast("array<int>")).withColumn("pieces", F.lit(None).cast("array<string>")).unionByName(met)
+    dealt = rows.repartition(scale_parts(spark), "page").sortWithinPartitions("page")
     out = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return dealt.mapInArrow(_join_back(path, ws.root, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])), out)
+    return dealt.mapInArrow(_join_back(ws.root, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])), out)
+
+
+def piece_table(path: str) -> pa.Table:
+    """The vocabulary's ``(id, piece)``, a row for each id."""
+    tokenizer = encoder(path).tokenizer
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    return pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

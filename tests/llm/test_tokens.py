@@ -52,6 +52,24 @@ def test_encode_decode(spark, tmp_path, library, monkeypatch):
     assert sorted([(r.doc_id, tuple(r.ids), r.decoded) for r in got], key=key) == sorted(want, key=key)
 
 
+def test_decoding_is_the_join(spark, tmp_path, library, monkeypatch):
+    """Another piece in the table, or none, shows in the decoded texts; ids stay."""
+    import pyarrow as pa
+
+    text = "some words and the other words"
+    ids = library.encode(text, add_special_tokens=False).ids
+    plain = bpe_words.piece_table
+
+    def other(path):
+        rows = plain(path).to_pylist()
+        return pa.Table.from_pylist([r | {"piece": "CHANGED" if r["id"] == ids[0] else r["piece"]} for r in rows if r["id"] != ids[-1]], pa.schema([("id", pa.int32()), ("piece", pa.string())]))
+
+    monkeypatch.setattr(bpe_words, "piece_table", other)
+    got = bpe_words.encode_decode(frame(spark, [(1, text, None, None)], tmp_path / "d")).first()
+    pieces = [library.id_to_token(i) for i in ids]
+    assert list(got.ids) == ids and got.decoded == " ".join("CHANGED" if i == ids[0] else "" if i == ids[-1] else x for i, x in zip(ids, pieces))
+
+
 def test_empty_tables(spark, tmp_path):
     empty = frame(spark, [], tmp_path / "e")
     assert bpe_words.encode_decode(empty).count() == 0
