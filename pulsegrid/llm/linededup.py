@@ -5,22 +5,28 @@
 2. Hashes found in enough documents are dealt to shards. A shard is a minimal perfect
    hash over its hashes with arrays at the hash's slot: fingerprint (the other 64 bits),
    count, keeper. It is one file in the shared folder.
-3. Documents are read again and probe the arrays; no row per line is joined.
+3. Documents probe the arrays; no row per line is joined. An index of up to CACHE_BYTES
+   is held by each worker as it reads the documents again. Beyond that the lines' hashes
+   are dealt to the shards, packed, a row for each (page, shard), and the answers come
+   back to the page by position; a page is a run of documents of one task, which waits
+   in a file. So a shard is read by the tasks that answer for it, not by all.
 
-A shard has at most about SHARD_KEYS keys of 20 bytes; a worker holds CACHE_BYTES of
-shards at most and loads others as it meets them.
+A shard has at most about SHARD_KEYS keys of 20 bytes.
 
 Edge cases: a null or empty text is one empty line. Each row is a document of its own,
 also where ids repeat: then every row with the largest id keeps its line. A null id is
 never the largest; if all holders' ids are null, nothing is dropped. Ties and repeated
-lines within a document share their fate. Columns named in ``extra`` are carried as
-they are; others aren't read. An empty table gives an empty result.
+lines within a document share their fate. A very long text is held whole by one worker,
+and so is the batch of documents that it comes with (bounded in bytes by
+``small_batches``). Columns named in ``extra`` are carried as they are, also such as are
+named like the operator's own; others aren't read. An empty table gives an empty result.
+The input must give the same rows in the same order when a task is run again, as a
+stored table does.
 """
 
 from __future__ import annotations
 
 import io
-from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,9 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Workspace, mix64, read_bytes, small_batches, write_atomically
+from .common import Workspace, mix64, pack_sorted, read_bytes, scale_parts, small_batches, unpack_sorted, write_atomically
 
 SHARD_KEYS, CACHE_BYTES = 500_000, 128 << 20
+#: Bytes of a page; bytes of the index for a line, with the hash's bits.
+PAGE_BYTES, LINE_BYTES = 16 << 20, 24
+#: Tasks that answer for a shard.
+SALTS = 8
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -149,20 +159,15 @@ class LineIndex:
         return cls(PerfectHash([z[f"b{i}"] for i in range(len(sizes))], sizes, z["rest"]), z["prints"], z["counts"], z["keeps"])
 
 
-class _Shards:
-    """Loads shards as they are met; the oldest go when CACHE_BYTES are held."""
+class _Shards(dict):
+    """Loads shards as they are met."""
 
     def __init__(self, folder: str):
-        self.folder, self.held = folder, OrderedDict()
+        self.folder = folder
 
-    def get(self, shard: int) -> LineIndex:
-        if shard in self.held:
-            self.held.move_to_end(shard)
-        else:
-            self.held[shard] = LineIndex.load(read_bytes(f"{self.folder}/{shard:06d}.mph"))
-            while len(self.held) > 1 and sum(x.nbytes for x in self.held.values()) > CACHE_BYTES:
-                self.held.popitem(last=False)
-        return self.held[shard]
+    def __missing__(self, shard: int) -> LineIndex:
+        self[shard] = index = LineIndex.load(read_bytes(f"{self.folder}/{shard:06d}.mph"))
+        return index
 
 
 def _line_hashes(min_chars: int):
@@ -181,14 +186,15 @@ def _line_hashes(min_chars: int):
     return run
 
 
-def build_index(docs: DataFrame, folder: str, id_col: str, text_col: str, min_docs: int, min_chars: int) -> int:
-    """Write the shards of all frequent lines; returns how many."""
+def build_index(docs: DataFrame, folder: str, id_col: str, text_col: str, min_docs: int, min_chars: int) -> tuple[int, int]:
+    """Write the shards of all frequent lines; returns how many shards and lines."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_line_hashes(min_chars), "h1 long, h2 long, doc long")
     found = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keep")).filter((F.col("n") >= min_docs) & F.col("keep").isNotNull())
     ws = Workspace(spark, "lines")
     found = ws.table(found, "frequent")
-    shards = max(1, -(-found.count() // SHARD_KEYS))
+    lines = found.count()
+    shards = max(1, -(-lines // SHARD_KEYS))
 
     def build(table: pa.Table) -> pa.Table:
         shard = int(table.column("shard")[0].as_py())
@@ -202,7 +208,7 @@ def build_index(docs: DataFrame, folder: str, id_col: str, text_col: str, min_do
     for shard in range(shards):
         if shard not in done:
             write_atomically(f"{folder}/{shard:06d}.mph", [LineIndex.build(empty, empty, empty.astype(np.uint32), empty).dump()])
-    return shards
+    return shards, lines
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, extra: Sequence[str] = ()) -> DataFrame:
@@ -215,37 +221,156 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     folder = Workspace(spark, "line-index").root
-    shards = build_index(docs, folder, id_col, text_col, min_docs, min_chars)
+    shards, frequent = build_index(docs, folder, id_col, text_col, min_docs, min_chars)
     source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *([F.struct(*extra).alias("row")] if extra else []))
     out = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), *([source.schema["row"]] if extra else [])])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
 
+    def without(batch: pa.RecordBatch, lines: list[list[str]], drop: list[set[int]]) -> pa.RecordBatch:
+        kept = ["\n".join([x for j, x in enumerate(own) if j not in gone]) if gone else "\n".join(own) for own, gone in zip(lines, drop, strict=True)]
+        cols = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in drop], pa.int64()), pa.array(kept, pa.string())]
+        return pa.RecordBatch.from_arrays(cols + ([batch.column(2).cast(arrow.field(4).type)] if extra else []), schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Shards(folder)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lines = [(t or "").split("\n") for t in texts]
-            keys, at = [], []
-            for i, own in enumerate(lines):
-                for j, line in enumerate(own):
-                    if len(line) >= min_chars and len(k := line_key(line)) >= min_chars:
-                        keys.append(k)
-                        at.append((i, j))
-            h = _hashes(keys)
+            ids = batch.column(0).to_pylist()
+            lines = _lines(batch)
+            h, doc, line = _long_lines(lines, min_chars)
             shard = h[:, 0] % shards
-            drop: list[set[int]] = [set() for _ in texts]
+            drop: list[set[int]] = [set() for _ in lines]
             for s in np.unique(shard).tolist():
                 own = np.flatnonzero(shard == s)
-                counts, keeps = index.get(s).find(np.ascontiguousarray(h[own, 0]), np.ascontiguousarray(h[own, 1]))
+                counts, keeps = index[s].find(np.ascontiguousarray(h[own, 0]), np.ascontiguousarray(h[own, 1]))
                 for x in np.flatnonzero(counts > 0).tolist():
-                    i, j = at[own[x]]
-                    if ids[i] != int(keeps[x]):
+                    if ids[doc[own[x]]] != int(keeps[x]):
+                        drop[doc[own[x]]].add(line[own[x]])
+            yield without(batch, lines, drop)
+
+    if frequent * LINE_BYTES <= CACHE_BYTES:
+        return source.mapInArrow(run, out)
+    parts = scale_parts(spark)
+    asked = source.mapInArrow(_asked(folder, shards, min_chars), _PROBES_DDL)
+    asked = asked.repartition(parts, "shard", F.pmod("page", F.lit(SALTS))).sortWithinPartitions("shard")
+    answers = asked.mapInArrow(_answered(folder), _PROBES_DDL).repartition(parts, "page").sortWithinPartitions("page")
+    return answers.mapInArrow(_pages_without(folder, without, min_chars), out)
+
+
+_PROBES = pa.schema([("page", pa.int64()), ("shard", pa.int64()), ("at", pa.binary()), ("h", pa.binary())])
+_PROBES_DDL = "page long, shard long, at binary, h binary"
+
+
+def _lines(batch: pa.RecordBatch) -> list[list[str]]:
+    return [(t or "").split("\n") for t in batch.column(1).to_pylist()]
+
+
+def _long_lines(lines: list[list[str]], min_chars: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """Hashes of the lines whose keys are long enough, with their documents and places."""
+    keys, doc, line = [], [], []
+    for i, own in enumerate(lines):
+        for j, x in enumerate(own):
+            if len(x) >= min_chars and len(k := line_key(x)) >= min_chars:
+                keys.append(k)
+                doc.append(i)
+                line.append(j)
+    return _hashes(keys), doc, line
+
+
+def _page_uri(folder: str, page: int) -> str:
+    return f"{folder}/page-{page >> 24:06d}-{page & 0xFFFFFF:06d}.arrow"
+
+
+def _asked(folder: str, shards: int, min_chars: int):
+    """Documents to their page's file, and its lines' hashes by shard; ``at`` counts the page's long lines."""
+
+    def close(page: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            for batch in held:
+                stream.write_batch(batch)
+        write_atomically(_page_uri(folder, page), [out.getvalue()])
+        h = np.concatenate([_long_lines(_lines(batch), min_chars)[0] for batch in held])
+        shard = h[:, 0] % shards
+        order = np.argsort(shard, kind="stable")
+        rows = [(page, -1, None, None)]
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            if len(own):
+                rows.append((page, int(shard[own[0]]), pack_sorted(own), np.ascontiguousarray(h[own]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _PROBES, strict=True)], schema=_PROBES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        page, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PAGE_BYTES:
+                yield from close(page, held)
+                page, held, size = page + 1, [], 0
+        if held:
+            yield from close(page, held)
+
+    return run
+
+
+def _answered(folder: str):
+    """Probes sorted by shard: places of the frequent lines, and the documents that keep them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Shards(folder)
+        for batch in batches:
+            rows = []
+            for page, shard, at, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard < 0:
+                    rows.append((page, shard, None, None))
+                    continue
+                if shard not in index:
+                    index.clear()
+                h = np.frombuffer(h, "<i8").reshape(-1, 2)
+                counts, keeps = index[shard].find(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]))
+                hit = counts > 0
+                if hit.any():
+                    rows.append((page, shard, pack_sorted(unpack_sorted(at)[hit]), keeps[hit].astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PROBES)], schema=_PROBES)
+
+    return run
+
+
+def _pages_without(folder: str, without, min_chars: int):
+    """Answers sorted by page to the page's documents without their repeated lines."""
+
+    def close(page: int, found: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        keeper: dict[int, int] = {}
+        for at, keeps in found:
+            keeper.update(zip(unpack_sorted(at).tolist(), np.frombuffer(keeps, "<i8").tolist(), strict=True))
+        first = 0
+        with pa.ipc.open_stream(read_bytes(_page_uri(folder, page))) as stream:
+            for batch in stream:
+                ids, lines = batch.column(0).to_pylist(), _lines(batch)
+                _, doc, line = _long_lines(lines, min_chars)
+                drop: list[set[int]] = [set() for _ in lines]
+                for x, (i, j) in enumerate(zip(doc, line, strict=True), first):
+                    if x in keeper and ids[i] != keeper[x]:
                         drop[i].add(j)
-            kept = ["\n".join([x for j, x in enumerate(own) if j not in gone]) if gone else "\n".join(own) for own, gone in zip(lines, drop, strict=True)]
-            cols = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in drop], pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + ([batch.column(2).cast(arrow.field(4).type)] if extra else []), schema=arrow)
+                first += len(doc)
+                yield without(batch, lines, drop)
 
-    return source.mapInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, []
+        for batch in batches:
+            for page, shard, places, keeps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if page != at:
+                    if at is not None:
+                        yield from close(at, found)
+                    at, found = page, []
+                if shard >= 0:
+                    found.append((places, keeps))
+        if at is not None:
+            yield from close(at, found)
+
+    return run
 
 
 ORACLE = """

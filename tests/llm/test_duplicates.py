@@ -194,8 +194,13 @@ def brute_lines(rows):
     return out
 
 
-def test_lines(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("held", [128 << 20, 0])
+def test_lines(spark, tmp_path, monkeypatch, held):
     monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
+    monkeypatch.setattr(linededup, "CACHE_BYTES", held)
+    monkeypatch.setattr(linededup, "PAGE_BYTES", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(linededup, "small_batches", lambda spark: None)
     rows = documents()
     got = linededup.drop_lines(frame(spark, rows, tmp_path / "d"), extra=["lang", "kept", "row"]).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got) == Counter(brute_lines(rows))
