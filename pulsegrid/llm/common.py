@@ -125,10 +125,15 @@ def fragment_count(df: DataFrame, spark: SparkSession, each: int = FRAGMENT_BYTE
     return max(scale_parts(spark), -(-size // each) if size < 1 << 60 else 0)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits in a worker.
+
+    A text that is longer is a batch of its own. These are settings of the session: they
+    hold for all that is run afterwards, in smaller batches, with the same results.
+    """
     reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def trim() -> None:

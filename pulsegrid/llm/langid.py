@@ -7,18 +7,24 @@ gets the language whose prototype has the largest cosine with it.
 
 Letters are lower-cased; a run of anything else is one space, also at both ends. All
 labelled documents outside the held-out fold are learned from. Sums are of whole
-numbers, so prototypes don't depend on the order of tasks.
+numbers, so prototypes don't depend on the order of tasks. Prototypes are files of
+BLOCK_LANGS languages in the shared folder: a worker keeps some, and reads the others
+for each batch of texts, so any number of label values will do.
 
 Edge cases: null text, or text without a letter: ``und`` with score 0; so is every text
 if nothing could be learned. Rows with a null label teach nothing. A null id is in
 neither fold. Equal cosines: the smaller language name. Repeated rows count as often
-as they come. Long texts are read whole. Columns named in ``extra`` are carried.
+as they come. Long texts are read whole, a slice at a time. Columns named in ``extra``
+are carried in one struct, whatever they are called; others aren't read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import io
 import unicodedata
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,12 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import small_batches
+from .common import Workspace, read_bytes, small_batches, write_atomically
 
 #: Dimensions, letters in an n-gram, characters worked on at once, n-gram vectors kept.
 DIMS, GRAM, SLICE_CHARS, CACHE_GRAMS = 1024, 3, 400_000, 32_768
-#: More label values than this aren't languages.
-MAX_LANGS = 4096
+#: Texts in a slice, at most; languages in a file of prototypes; files that a worker keeps;
+#: languages that a task sums before it hands them on.
+SLICE_TEXTS, BLOCK_LANGS, KEPT_BLOCKS, HELD_LANGS = 128, 512, 2, 512
 _CODE = 21  # bits of a code point
 
 
@@ -106,7 +113,7 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarra
             at.append(i)
             held.append(piece)
             size += len(piece)
-            if size >= SLICE_CHARS:
+            if size >= SLICE_CHARS or len(held) >= SLICE_TEXTS:
                 yield at, held
                 at, held, size = [], [], 0
     if held:
@@ -146,13 +153,28 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Prototypes:
+    """Languages' unit vectors, in files of a folder, named by number."""
+
+    folder: str
+    blocks: tuple[int, ...]
+
+    def block(self, k: int) -> tuple[list[str], np.ndarray]:
+        z = np.load(io.BytesIO(read_bytes(f"{self.folder}/{k:06d}.npz")))
+        names, ends = z["names"].tobytes(), np.cumsum(z["sizes"]).tolist()
+        return [names[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)], z["matrix"]
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Prototypes:
     """Prototypes of the languages of all labelled rows, summed in Spark by language and dimension."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     schema = pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        close = lambda: pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], schema.field(1).type)], schema=schema)
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for at, held in _slices(batch.column(0).to_pylist()):
@@ -161,47 +183,85 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
                 counts, codes = _counts(held, np.array([number[labels[i]] for i in at]), len(names))
                 for name, v in zip(names, _space().bundle(counts, codes), strict=True):
                     sums[name] = sums.get(name, 0) + v
+                if len(sums) >= HELD_LANGS:
+                    yield close()
+                    sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], schema.field(1).type)], schema=schema)
+            yield close()
 
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, vector array<double>")
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, vector array<double>")
     total = rows.select("lang", F.posexplode("vector").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x"))
-    found = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("v")).limit(MAX_LANGS + 1).collect()
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"{lang_col} has more than {MAX_LANGS} values")
-    return {r.lang: np.array([x.x for x in r.v]) for r in found}
-
-
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    ws = Workspace(spark, "languages")
+    folder = ws.root
+    found = ws.table(total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("v")), "sums")
+    blocks = -(-found.count() // BLOCK_LANGS)
+
+    def write(table: pa.Table) -> pa.Table:
+        k = table.column("block")[0].as_py()
+        matrix = np.array(table.column("v").to_pylist())
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        names = [x.encode("utf-8", "surrogatepass") for x in table.column("lang").to_pylist()]
+        file = io.BytesIO()
+        np.savez(file, matrix=matrix, names=np.frombuffer(b"".join(names), np.uint8), sizes=np.array([len(x) for x in names]))
+        write_atomically(f"{folder}/{k:06d}.npz", [file.getvalue()])
+        return pa.table({"block": pa.array([k], pa.int64())})
+
+    if not blocks:
+        return Prototypes(folder, ())
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks)).cast("long"))
+    return Prototypes(folder, tuple(sorted(r.block for r in dealt.groupBy("block").applyInArrow(write, "block long").collect())))
+
+
+def predict(docs: DataFrame, prototypes: Prototypes, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
     """``(id_col, lang_pred, score)`` and the ``extra`` columns as one struct ``row``."""
     small_batches(docs.sparkSession)
-    names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names]).reshape(len(names), DIMS)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *([F.struct(*extra).alias("row")] if extra else []))
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([source.schema["row"]] if extra else [])])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {k: prototypes.block(k) for k in prototypes.blocks[:KEPT_BLOCKS]}
+
+        def nearest(vectors: np.ndarray) -> tuple[list[str], np.ndarray]:
+            """The language of each vector: largest cosine, then smallest name."""
+            names, scores = ["und"] * len(vectors), np.full(len(vectors), -2.0)
+            vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+            for k in prototypes.blocks:
+                own, matrix = kept[k] if k in kept else prototypes.block(k)
+                cosines = vectors @ matrix.T
+                top = cosines.max(axis=1)
+                for i in np.flatnonzero(top >= scores).tolist():
+                    name = min(own[j] for j in np.flatnonzero(cosines[i] == top[i]).tolist())
+                    if top[i] > scores[i] or name < names[i]:
+                        names[i], scores[i] = name, top[i]
+            return names, np.clip(scores, 0.0, 1.0)
+
         for batch in batches:
             langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            pending: dict[int, np.ndarray] = {}
-
-            def settle(rows: list[int], langs=langs, scores=scores, pending=pending) -> None:
-                for i in rows:
-                    v = pending.pop(i)
-                    cosines = matrix @ v / max(np.linalg.norm(v), 1e-300)
-                    best = int(np.argmax(cosines))
-                    langs[i], scores[i] = names[best], float(min(1.0, max(0.0, cosines[best])))
-
-            for at, held in _slices(batch.column(1).to_pylist()) if names else ():
-                rows = sorted(set(at))
-                number = {i: k for k, i in enumerate(rows)}
-                counts, codes = _counts(held, np.array([number[i] for i in at]), len(rows))
-                for i, v in zip(rows, _space().bundle(counts, codes), strict=True):
-                    pending[i] = pending.get(i, 0) + v
-                settle(sorted(pending)[:-1])  # the last text may go on in the next slice
-            settle(sorted(pending))
+            rows: list[int] = []
+            vectors: list[np.ndarray] = []
+
+            def settle(last: int, langs=langs, scores=scores, rows=rows, vectors=vectors) -> None:
+                """All finished texts; the last one may go on in the next slice."""
+                n = len(rows) - last
+                if n > 0:
+                    for i, name, score in zip(rows, *nearest(np.array(vectors[:n]))):  # noqa: B905
+                        langs[i], scores[i] = name, float(score)
+                    del rows[:n], vectors[:n]
+
+            for at, held in _slices(batch.column(1).to_pylist()) if prototypes.blocks else ():
+                own = sorted(set(at))
+                number = {i: k for k, i in enumerate(own)}
+                counts, codes = _counts(held, np.array([number[i] for i in at]), len(own))
+                for i, v in zip(own, _space().bundle(counts, codes), strict=True):
+                    if rows and rows[-1] == i:
+                        vectors[-1] = vectors[-1] + v
+                    else:
+                        rows.append(i)
+                        vectors.append(v)
+                if len(rows) > SLICE_TEXTS:
+                    settle(1)
+            settle(0)
             cols = [batch.column(0).cast(arrow.field(0).type), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols + ([batch.column(2).cast(arrow.field(3).type)] if extra else []), schema=arrow)
 

@@ -84,9 +84,62 @@ def test_languages(spark, tmp_path):
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1000].score == 0
     assert got[1004].lang_pred == "aa" and got[1003].lang_pred == "cc" and not got[None].held_out
     assert all(0 <= r.score <= 1 for r in got.values())
-    out = langid.predict(docs, {}, extra=["n", "row"]).collect()
+    out = langid.predict(docs, langid.Prototypes("", ()), extra=["n", "row"]).collect()
     assert {r.lang_pred for r in out} == {"und"} and out[0].row.n == "clash"
-    assert langid.learn(frame(spark, [], tmp_path / "e")) == {}
+    assert langid.learn(frame(spark, [], tmp_path / "e")).blocks == ()
+
+
+def test_languages_by_brute_force(spark, tmp_path, monkeypatch):
+    """Predictions and scores against vectors made letter by letter; prototypes in several files, texts in several slices."""
+    import random
+    import unicodedata
+    import zlib
+
+    monkeypatch.setattr(langid, "BLOCK_LANGS", 2)
+    monkeypatch.setattr(langid, "KEPT_BLOCKS", 1)
+    monkeypatch.setattr(langid, "SLICE_TEXTS", 3)
+    rng = random.Random(2)
+    letters = {f"l{k}\0{k}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzéüñç", 9)) for k in range(7)}
+    rows = [(i, " ".join("".join(rng.choice(letters[g]) for _ in range(rng.randrange(1, 7))).title() + rng.choice(["", ",", " 7"]) for _ in range(rng.randrange(1, 30))), g, None) for i in range(90) for g in [rng.choice(sorted(letters))]]
+    rows += [(200, None, "l0", None), (201, "--", "l1", None), (202, "ab", None, None)]
+    space = langid.Space()
+
+    def vector(text):
+        codes = [32]
+        for c in (text or "").lower():
+            if unicodedata.category(c)[0] == "L":
+                codes.append(ord(c))
+            elif codes[-1] != 32:
+                codes.append(32)
+        codes += [32] * (codes[-1] != 32)
+        out = np.zeros(langid.DIMS)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            out += np.roll(space.letter(a), 2) * np.roll(space.letter(b), 1) * space.letter(c)
+        return out if len(codes) > 1 else None
+
+    sums = {}
+    for d, t, g, _ in rows:
+        if g and zlib.crc32(str(d).encode()) % 5 and (v := vector(t)) is not None:
+            sums[g] = sums.get(g, 0) + v
+    frame(spark, rows, tmp_path / "documents.parquet")
+    got = {r.doc_id: r for r in langid.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and len(sums) > 4
+    for d, t, *_ in rows:
+        if (v := vector(t)) is None:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0)
+            continue
+        cosines = {g: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for g, p in sums.items()}
+        best = max(cosines.values())
+        assert abs(got[d].score - max(0, best)) < 1e-9 and cosines[got[d].lang_pred] > best - 1e-9
+
+
+def test_more_labels_than_a_task_holds(spark, tmp_path):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}{chr(0x4E00 + i)} " * 3, f"g{i}", None) for i in range(4500)]
+    docs = frame(spark, rows, tmp_path / "d", extra=False)
+    prototypes = langid.learn(docs)
+    assert len(prototypes.blocks) > 5
+    few = docs.filter("doc_id % 300 = 0")
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(few, prototypes).collect()} == {(i, f"g{i}") for i in range(0, 4500, 300)}
 
 
 def test_bundle_is_the_sum_of_bound_letters():
