@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written
 as Parquet and read again as the next stage's documents. All but the last return the
-columns of ``documents``. ``n_chars`` is kept equal to the text's length where a stage
-changes the text.
+columns of ``documents``, whatever further columns there are and however they are named.
+``n_chars`` is kept equal to the text's length where a stage changes the text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,12 @@ MIN_LANG_SCORE = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 7: documents without a recognisable language go."""
+    """Op 7: documents without a recognisable language go.
+
+    A null, empty or letterless text has none. Rows with a null id teach nothing, and
+    are judged as all others. Repeated rows are judged alike, so all stay or all go. A
+    long text is judged whole. If nothing is labelled, every document goes.
+    """
     columns = docs.columns
     labelled = docs.filter(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()).select("text", "lang")
     out = langid.predict(docs, langid.learn(labelled), extra=columns)
@@ -27,7 +32,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 8: lines of three documents or more stay in the last one; every document stays."""
+    """Op 8: lines of three documents or more stay in the last one; every document stays.
+
+    A null text becomes an empty one. Rows of equal id each count as a document; all with
+    the largest id keep the line. Rows with a null id never keep it.
+    """
     columns = docs.columns
     out = linededup.drop_lines(docs, extra=[c for c in columns if c != "text"])
     rows = out.select("row.*", F.col("kept").alias("text"))
@@ -37,7 +46,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 2: of documents linked by five-word shingles at 0.8, the smallest id of each component stays.
 
-    A document without words, or with a null id, links with nothing and stays.
+    A document without words, or with a null id, links with nothing and stays. Rows of
+    equal id are one document: all of them stay or go. Of equal texts the smallest id stays.
     """
     found = ngramjoin.jaccard_join(docs, n=5, percent=80).documents
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
@@ -45,7 +55,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 1: documents that hold a benchmark item go."""
+    """Op 1: documents that hold a benchmark item go.
+
+    Null texts and empty benchmarks hold nothing. Rows of equal id go together; rows with a
+    null id stay, as they can't be named. Long texts are searched whole.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = decontam.contaminated(docs, benchmark).select("doc_id").distinct()
     gone = Workspace(spark, "leaks").table(gone, "ids")
@@ -53,7 +67,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 4: token ids of what is left, with their count."""
+    """Op 4: token ids of what is left, with their count; one row a row, null texts as empty ones."""
     return bpe_words.encode_decode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
