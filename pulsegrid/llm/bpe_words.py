@@ -244,7 +244,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     answers = ws.table(words.groupBy("bucket").applyInArrow(_encode_bucket(path, arrow), packed), "answers")
     # Decoding: the distinct ids of each page meet the id-to-piece table.
     pieces = F.broadcast(ws.table(spark.createDataFrame(piece_table(path)), "pieces"))
-    met = answers.select("page", F.explode("d").alias("id")).distinct().join(pieces, "id", "left")
+    own = answers.groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("d"))).alias("d"))
+    met = own.select("page", F.explode("d").alias("id")).join(pieces, "id", "left")
     met = met.groupBy("page").agg(F.collect_list(F.struct("id", F.coalesce("piece", F.lit("")).alias("piece"))).alias("met"))
     none = [F.lit(None).cast(packed[c].dataType).alias(c) for c in ("bucket", "a", "b", "c")]
     met = met.select("page", *none, F.col("met.id").alias("d"), F.col("met.piece").alias("pieces"))
