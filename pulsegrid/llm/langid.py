@@ -41,6 +41,8 @@ DIMS, GRAM, SLICE_CHARS, CACHE_GRAMS = 1024, 3, 400_000, 32_768
 #: Texts in a slice, at most; languages in a file of prototypes; files that a worker keeps;
 #: languages that a task sums before it hands them on.
 SLICE_TEXTS, BLOCK_LANGS, KEPT_BLOCKS, HELD_LANGS = 128, 512, 2, 512
+#: N-gram vectors that are multiplied at once.
+STEP_GRAMS = 4096
 _CODE = 21  # bits of a code point
 
 
@@ -72,8 +74,8 @@ class Space:
     def bundle(self, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Counts (texts x n-grams) times the n-grams' vectors."""
         out = np.zeros((len(counts), self.dims))
-        for lo in range(0, len(codes), CACHE_GRAMS):
-            part = codes[lo : lo + CACHE_GRAMS].tolist()
+        for lo in range(0, len(codes), STEP_GRAMS):
+            part = codes[lo : lo + STEP_GRAMS].tolist()
             new = [c for c in part if c not in self.rows]
             if len(self.rows) + len(new) > CACHE_GRAMS:
                 self.rows.clear()
@@ -82,7 +84,7 @@ class Space:
                 self.rows[c] = len(self.rows)
                 self.vectors[self.rows[c]] = self.gram(c)
             own = self.vectors[[self.rows[c] for c in part]].astype(np.float32)
-            out += counts[:, lo : lo + CACHE_GRAMS].astype(np.float32) @ own
+            out += counts[:, lo : lo + STEP_GRAMS].astype(np.float32) @ own
         return out
 
 
