@@ -13,7 +13,8 @@ with a smaller id. Strings are judged on the input.
 3. Those bytes are dealt by anchor again. A fragment sorts the windows as suffixes
    (hash-compared merge sort, see ``suffixsort``, which compares neighbours' bytes); a
    run of equal ones has a smallest document, and every other document's windows in it
-   are repeats. No digest decides: equal bytes do, in the page and in the sort.
+   are repeats. Pieces of equal bytes are sorted as one. No digest decides: equal bytes
+   do, in the page, in the fragment and in the sort.
 4. Pages join the answers by position and cut the bytes out.
 
 Texts wait in their page's file in the shared folder. Anchors with very many units are
@@ -351,7 +352,12 @@ def _sorted_windows(fragments: int, at_once: int):
 
 
 def _repeats(table: pa.Table, hand_to: int | None, at_once: int) -> pa.Table:
-    """A fragment's pieces of text: their windows, sorted as suffixes; windows of larger documents in a run of equal ones."""
+    """A fragment's pieces of text: their windows that a smaller document has too.
+
+    Pieces of equal bytes are one, with their smallest document. Where an anchor has
+    several, their windows are sorted as suffixes; a run of equal ones has a smallest
+    document. A piece's window is a repeat if its document is larger than that.
+    """
     pages, metas, texts = table.column("page").to_pylist(), [], []
     for m, t in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
         metas.append(np.frombuffer(unpack(m), "<i8").reshape(5, -1))
@@ -361,10 +367,18 @@ def _repeats(table: pa.Table, hand_to: int | None, at_once: int) -> pa.Table:
     text = np.concatenate(texts)
     base = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
     flat = text.tobytes()
-    grams = np.array([xxhash.xxh3_64_intdigest(flat[a : a + GRAM]) for a in (base + lead).tolist()], np.uint64)
-    pieces = np.argsort(grams, kind="stable")
-    total = np.cumsum(count[pieces])
-    hit_piece, hit_window, lo = [], [], 0
+    number: dict[tuple[bytes, int], int] = {}
+    alike = np.fromiter((number.setdefault((flat[x:y], k), len(number)) for x, y, k in zip(base.tolist(), (base + count + WIDTH - 1).tolist(), lead.tolist(), strict=True)), np.int64, len(base))
+    del number, metas, texts
+    order = np.lexsort((doc, alike))
+    first = order[np.flatnonzero(np.diff(alike[order], prepend=-1))]  # the smallest document's piece of each
+    start = np.cumsum(count[first]) - count[first]
+    limit = np.repeat(doc[first], count[first])  # of each distinct piece's windows
+    grams = np.array([xxhash.xxh3_64_intdigest(flat[a : a + GRAM]) for a in (base + lead)[first].tolist()], np.uint64)
+    several = np.flatnonzero(_met_again(grams))
+    pieces = several[np.argsort(grams[several], kind="stable")]
+    total = np.cumsum(count[first[pieces]])
+    lo = 0
     while lo < len(pieces):
         # Whole groups of one anchor, some at_once windows at a time.
         hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + at_once, side="right"))
@@ -373,10 +387,10 @@ def _repeats(table: pa.Table, hand_to: int | None, at_once: int) -> pa.Table:
             hi += 1
         own = pieces[lo:hi]
         lo = hi
-        n = count[own]
+        n = count[first[own]]
         of = np.repeat(own, n)
         j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        place = lead[of] - j  # the anchor's distance from the window's start
+        place = lead[first[of]] - j  # the anchor's distance from the window's start
         order = np.lexsort((place, grams[of]))
         of, j, place = of[order], j[order], place[order]
         change = np.concatenate(([True], (grams[of][1:] != grams[of][:-1]) | (place[1:] != place[:-1])))
@@ -387,9 +401,9 @@ def _repeats(table: pa.Table, hand_to: int | None, at_once: int) -> pa.Table:
             continue
         # Only this round's bytes are hashed.
         used = np.unique(of)
-        size = count[used] + WIDTH - 1
+        size = count[first[used]] + WIDTH - 1
         at = np.cumsum(size) - size
-        take = np.repeat(base[used] - at, size) + np.arange(size.sum())
+        take = np.repeat(base[first[used]] - at, size) + np.arange(size.sum())
         suffixes = Suffixes(text[take], WIDTH)
         where = at[np.searchsorted(used, of)] + j
         # A window whose hash no other of its group has can't repeat; the others are sorted.
@@ -398,33 +412,39 @@ def _repeats(table: pa.Table, hand_to: int | None, at_once: int) -> pa.Table:
         if not len(of):
             continue
         order, same = suffixes.sort(where, group)
-        starts = np.flatnonzero(~same)
-        d = doc[of[order]]
-        least = np.minimum.reduceat(d, starts)
-        hit = order[d > np.repeat(least, np.diff(np.append(starts, len(d))))]
-        hit_piece.append(of[hit])
-        hit_window.append(j[hit])
+        runs = np.flatnonzero(~same)
+        window = start[of[order]] + j[order]
+        limit[window] = np.repeat(np.minimum.reduceat(limit[window], runs), np.diff(np.append(runs, len(window))))
     trim()
+    # Pieces whose windows are all repeats, and windows of the others.
+    most = np.maximum.reduceat(limit, start)
+    least = np.minimum.reduceat(limit, start)
+    whole = doc > most[alike]
+    part = np.flatnonzero(~whole & (doc > least[alike]))
+    n = count[part]
+    p = np.repeat(part, n)
+    w = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+    hit = doc[p] > limit[start[alike[p]] + w]
+    one = np.flatnonzero(whole & (count == 1))
+    p, w, whole = np.concatenate((p[hit], one)), np.concatenate((w[hit], np.zeros(len(one), np.int64))), np.flatnonzero(whole & (count > 1))
+    order = np.lexsort((w + skip[p], unit[p], page[p]))
+    p, w = p[order], w[order]
+    cuts, ends = (np.searchsorted(page[x], np.arange(len(pages) + 1)) for x in (p, whole))
     rows = []
-    if hit_piece:
-        p, w = np.concatenate(hit_piece), np.concatenate(hit_window)
-        order = np.lexsort((w + skip[p], unit[p], page[p]))
-        p, w = p[order], w[order]
-        cuts = np.searchsorted(page[p], np.arange(len(pages) + 1))
-        for i, number in enumerate(pages):
-            a, b = cuts[i], cuts[i + 1]
-            if b > a:
-                rows.append((number, HITS, pack_sorted(unit[p[a:b]]), pack_ints(skip[p[a:b]] + w[a:b]), None, None))
+    for i, name in enumerate(pages):
+        x, y = cuts[i], cuts[i + 1]
+        all_of = whole[ends[i] : ends[i + 1]]
+        if y > x or len(all_of):
+            rows.append((name, HITS, pack_sorted(unit[p[x:y]]), pack_ints(skip[p[x:y]] + w[x:y]), pack_ints(unit[all_of]), None))
     if hand_to is not None:  # pieces of one window each
         left = np.ones(len(page), bool)
-        if hit_piece:
-            left[np.concatenate(hit_piece)] = False
+        left[p] = False
         own = np.column_stack((unit, skip, count, lead))
-        texts = [flat[a : a + WIDTH] for a in base.tolist()]
-        for i, number in enumerate(pages):
+        windows = [flat[a : a + WIDTH] for a in base.tolist()]
+        for i, name in enumerate(pages):
             at = np.flatnonzero(left & (page == i))
             if len(at):
-                rows.append((number, hand_to, *_dealt(own, doc, texts, at), None, None))
+                rows.append((name, hand_to, *_dealt(own, doc, windows, at), None, None))
     return pa.Table.from_batches([_rows(rows)])
 
 
@@ -447,10 +467,12 @@ def _finish(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _gather(batches):
             page = _Page(folder, number)
-            whole, hits, none = page.settled, [r for r in rows if r[0] == HITS], np.zeros(0, np.int64)
+            hits, none = [r for r in rows if r[0] == HITS], np.zeros(0, np.int64)
             units = np.concatenate((none, *(unpack_sorted(r[1]).astype(np.int64) for r in hits)))
             windows = np.concatenate((none, *(unpack_ints(r[2]).astype(np.int64) for r in hits)))
             more, n = _followers(page, units)
+            whole = np.concatenate((none, *(unpack_ints(r[3]).astype(np.int64) for r in hits)))
+            whole = np.concatenate((page.settled, whole, _followers(page, whole)[0]))
             u = np.concatenate((whole, units, more))
             doc = page.doc[u]
             start = page.start[u] + np.concatenate((np.zeros(len(whole), np.int64), windows, np.repeat(windows, n)))
