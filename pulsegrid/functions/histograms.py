@@ -86,82 +86,6 @@ def bounds(schema: int, i: int, custom: list[float] | None = None) -> tuple[floa
     return 2.0 ** ((i - 1) * step), 2.0 ** (i * step)
 
 
-def buckets(h: dict) -> list[tuple[float, float, float]]:
-    """(lower, upper, count) from the lowest values to the highest."""
-    custom = list(h["custom"] or ())
-    pos = [(*bounds(h["schema"], i, custom), c) for i, c in sorted(_map(h["pos"]).items()) if c]
-    if h["schema"] == CUSTOM:
-        return pos
-    neg = [(-hi, -lo, c) for i, c in sorted(_map(h["neg"]).items(), reverse=True) if c for lo, hi in [bounds(h["schema"], i)]]
-    z = h["zero_threshold"]
-    zero = [((0.0 if pos and not neg else -z), (0.0 if neg and not pos else z), h["zero_count"])] if h["zero_count"] else []
-    return neg + zero + pos
-
-
-def _share(lo: float, hi: float, x: float, h: dict) -> float:
-    """How much of a bucket lies at or below x."""
-    if x >= hi:
-        return 1.0
-    if x <= lo:
-        return 0.0
-    if h["schema"] == CUSTOM or lo <= 0 <= hi:
-        lo = 0.0 if lo == -math.inf else lo
-        return 0.0 if hi == math.inf or x <= lo else (x - lo) / (hi - lo)
-    a, b, y = math.log2(abs(lo)), math.log2(abs(hi)), math.log2(abs(x))
-    return (y - a) / (b - a)
-
-
-def quantile(q: float, h: dict) -> float:
-    if math.isnan(q) or not h["count"] or math.isnan(h["count"]):
-        return math.nan
-    if q < 0:
-        return -math.inf
-    if q > 1:
-        return math.inf
-    rank, seen = q * h["count"], 0.0
-    rows = buckets(h)
-    for n, (lo, hi, c) in enumerate(rows):
-        if seen + c < rank and n < len(rows) - 1:
-            seen += c
-            continue
-        f = min(1.0, max(0.0, (rank - seen) / c))
-        if h["schema"] == CUSTOM:
-            if hi == math.inf:
-                return lo
-            if lo == -math.inf:
-                if hi <= 0:
-                    return hi
-                lo = 0.0
-        if h["schema"] == CUSTOM or lo <= 0 <= hi:
-            return lo + (hi - lo) * f
-        a, b = math.log2(abs(lo)), math.log2(abs(hi))
-        return math.copysign(2.0 ** (a + (b - a) * f), lo)
-    return math.nan
-
-
-def fraction(low: float, high: float, h: dict) -> float:
-    if math.isnan(low) or math.isnan(high) or not h["count"] or math.isnan(h["count"]):
-        return math.nan
-    if low >= high:
-        return 0.0
-    below = lambda x: 0.0 if x == -math.inf else h["count"] if x == math.inf else sum(c * _share(lo, hi, x, h) for lo, hi, c in buckets(h))
-    return (below(high) - below(low)) / h["count"]
-
-
-def variance(h: dict) -> float:
-    """By bucket middles: geometric, 0 for the zero bucket, arithmetic for custom bounds."""
-    if not h["count"]:
-        return math.nan
-    mean, out = h["sum"] / h["count"], 0.0
-    for lo, hi, c in buckets(h):
-        if h["schema"] == CUSTOM:
-            mid = (0.0 if lo == -math.inf else lo) / 2 + hi / 2 if hi != math.inf else lo
-        else:
-            mid = 0.0 if lo <= 0 <= hi else math.copysign(math.sqrt(abs(lo * hi)), lo)
-        out += c * (mid - mean) ** 2
-    return out / h["count"]
-
-
 def counter_increase(hs: list[dict], counter: bool) -> dict | None:
     """Last minus first, adding back what was lost at resets, at the lowest resolution."""
     schema = min(h["schema"] for h in hs)

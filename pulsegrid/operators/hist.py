@@ -2,13 +2,16 @@
 
 Classic ones are column expressions over a group's buckets (a histogram's bounds, so a
 short list). Sums of native ones are explode-and-sum over buckets, which spreads a large
-group. Only kernels over one histogram, or one series' window, run in Arrow batches.
+group; quantiles, fractions and variances fold over an array of buckets. Only kernels
+over one series' window that holds histograms, and over two histograms, run in Arrow
+batches; windows of floats never do.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,7 @@ from ..functions import histograms as H
 from ..functions import numeric as N
 from ..grid import Grid, Scalar, Vector, col, ref
 from ..lang.nodes import RESERVED
+from . import native
 from .window import windows
 
 
@@ -126,8 +130,8 @@ def instant_function(fn: str, x: Vector) -> Vector:
     if fn in plain:
         df = df.withColumn("v", plain[fn])
     else:
-        root = fn == "histogram_stddev"
-        df = kernel(df, [*[col(n) for n in x.labels], "step"], lambda r: (math.sqrt(s) if root and (s := H.variance(r["h"])) == s else H.variance(r["h"]),), "v double")
+        spread = native.variance(F.col("h"), F.col("__b"))
+        df = df.withColumn("__b", native.buckets(F.col("h"))).withColumn("v", F.sqrt(spread) if fn == "histogram_stddev" else spread)
     return Vector(df.select(*x.cols, "step", "v"), x.labels, False, x.unique, x.named).anonymous()
 
 
@@ -136,13 +140,14 @@ def buckets_function(fn: str, args: list[Scalar], x: Vector) -> Vector:
     df, labels = classic_quantile(args[0], x) if fn == "histogram_quantile" else classic_fraction(*args, x)
     df = df.select(*[ref(n) for n in labels], "step", "v")
     if x.hist:
-        native = x.df.filter("h IS NOT NULL").select(*[ref(n) for n in x.labels], "step", "h")
+        rows = x.df.filter("h IS NOT NULL").select(*[ref(n) for n in x.labels], "step", "h")
         for i, s in enumerate(args):
-            native, value = s.joined(native)
-            native = native.withColumn(f"p{i}", value)
-        of = (lambda r: (H.quantile(r["p0"], r["h"]),)) if fn == "histogram_quantile" else (lambda r: (H.fraction(r["p0"], r["p1"], r["h"]),))
-        native = kernel(native, [*[col(n) for n in labels], "step"], of, "v double")
-        both = df.withColumn("__k", F.lit(0)).unionByName(native.withColumn("__k", F.lit(1)))
+            rows, value = s.joined(rows)
+            rows = rows.withColumn(f"p{i}", value)
+        of = native.quantile if fn == "histogram_quantile" else native.fraction
+        rows = rows.withColumn("__b", native.buckets(F.col("h"))).withColumn("v", of(*[F.col(f"p{i}") for i in range(len(args))], F.col("h"), F.col("__b")))
+        rows = rows.select(*[ref(n) for n in labels], "step", "v")
+        both = df.withColumn("__k", F.lit(0)).unionByName(rows.withColumn("__k", F.lit(1)))
         df = both.groupBy(*[col(n) for n in labels], "step").agg(F.count_distinct("__k").alias("kinds"), F.first("v").alias("v")).filter("kinds = 1")
     out = Vector(df.select(*[ref(n) for n in labels], "step", "v"), labels, False, True, x.named)
     return out.anonymous()
@@ -221,10 +226,13 @@ def matched(op: str, boolean: bool, df: DataFrame, ah: bool, bh: bool) -> tuple[
     return floats.unionByName(kernel(mixed, keep, of)), True
 
 
-def over_windows(fn: str, r, grid: Grid, args: list[Scalar]) -> Vector:
-    """Range functions of series with histograms: a kernel over each series' window."""
-    labels = [col(x) for x in r.labels]
-    rows = windows(r.df, grid, r.width, r.offset).groupBy(*labels, "step").agg(F.collect_list(F.struct("t", "v", "h")).alias("w"))
+def over_windows(fn: str, r, grid: Grid, args: list[Scalar], floats: Callable[..., DataFrame]) -> DataFrame:
+    """Range functions of series with histograms: a kernel over each window that holds one, ``floats`` of the others."""
+    keys = [*[col(x) for x in r.labels], "step"]
+    held = windows(r.df.filter("h IS NOT NULL"), grid, r.width, r.offset).select(*keys).distinct()
+    plain = floats(fn, replace(r, df=r.df.filter("h IS NULL").drop("h"), hist=False), grid, args)
+    plain = plain.select(*keys, "v").join(held, keys, "left_anti").withColumn("h", F.lit(None).cast(H.DDL))
+    rows = windows(r.df, grid, r.width, r.offset).join(held, keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("t", "v", "h")).alias("w"))
     for i, s in enumerate(args):
         rows, value = s.joined(rows)
         rows = rows.withColumn(f"p{i}", value)
@@ -233,9 +241,7 @@ def over_windows(fn: str, r, grid: Grid, args: list[Scalar]) -> Vector:
     def of(row: dict):
         return window_value(fn, sorted(row["w"], key=lambda s: s["t"]), row["step"], width, offset, [row[f"p{i}"] for i in range(len(args))])
 
-    out = Vector(kernel(rows, [*labels, "step"], of), r.labels, True, r.unique, r.named)
-    keeps = fn == "last_over_time" or fn == "first_over_time" and not r.from_subquery
-    return out if keeps else out.drop(*RESERVED)
+    return kernel(rows, keys, of).unionByName(plain)
 
 
 def window_value(fn: str, w: list[dict], step: int, width: int, offset: int, args: list[float]):

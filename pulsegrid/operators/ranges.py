@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +15,8 @@ from ..lang.nodes import RESERVED
 from .along import accumulated, previous
 from .window import bucket_end, grain, windows
 
+#: Functions over a window and the sample before it.
+EXTENDED = ("xrate", "xincrease", "xdelta")
 KEEPS_NAME = ("last_over_time", "first_over_time")
 COUNTERS = ("rate", "increase", "irate", "xrate", "xincrease")
 
@@ -253,31 +255,37 @@ def _extended(fn: str, r: Ranged, grid: Grid, extra: int) -> DataFrame:
 
 
 def apply(fn: str, r: Ranged, grid: Grid, args: list[Scalar], extra: int = 0) -> Vector:
-    """A range function over all windows; histograms go to ``hist.over_windows``."""
-    if r.hist:
+    """A range function over all windows; windows with histograms go to ``hist.over_windows``."""
+    if fn in EXTENDED and r.from_subquery:
+        raise UnsupportedExpression(f"{fn} over a subquery")
+    if r.hist and fn not in EXTENDED:
         from .hist import over_windows
 
-        return over_windows(fn, r, grid, args)
-    if fn in ("xrate", "xincrease", "xdelta"):
-        if r.from_subquery:
-            raise UnsupportedExpression(f"{fn} over a subquery")
-        df = _extended(fn, r, grid, extra)
-    elif fn in _SIMPLE:
-        df = _mergeable(fn, r, grid)
-    elif fn in ("irate", "idelta"):
-        df = _last_two(fn, r, grid)
-    elif fn in ("avg_over_time", "stddev_over_time", "stdvar_over_time"):
-        df = _moments(fn, r, grid)
-    elif fn in ("deriv", "predict_linear"):
-        df = _regression(fn, r, grid, args)
-    elif fn == "quantile_over_time":
-        df = _quantile(r, grid, args[0])
-    elif fn == "mad_over_time":
-        df = _mad(r, grid)
-    elif fn == "double_exponential_smoothing":
-        df = _smooth(r, grid, *args)
+        df = over_windows(fn, r, grid, args, _floats)
     else:
-        raise UnsupportedExpression(fn)
-    out = Vector(df.select(*[ref(x) for x in r.labels], "step", "v"), r.labels, False, r.unique, r.named)
+        df = _floats(fn, replace(r, df=r.df.filter("h IS NULL")) if r.hist else r, grid, args, extra)
+    value = ["v", "h"] if "h" in df.columns else ["v"]
+    out = Vector(df.select(*[ref(x) for x in r.labels], "step", *value), r.labels, "h" in value, r.unique, r.named)
     keeps = fn == "last_over_time" or fn == "first_over_time" and not r.from_subquery
     return out if keeps else out.drop(*RESERVED)
+
+
+def _floats(fn: str, r: Ranged, grid: Grid, args: list[Scalar], extra: int = 0) -> DataFrame:
+    """Rows (labels, step, v) of a range function over float samples."""
+    if fn in EXTENDED:
+        return _extended(fn, r, grid, extra)
+    if fn in _SIMPLE:
+        return _mergeable(fn, r, grid)
+    if fn in ("irate", "idelta"):
+        return _last_two(fn, r, grid)
+    if fn in ("avg_over_time", "stddev_over_time", "stdvar_over_time"):
+        return _moments(fn, r, grid)
+    if fn in ("deriv", "predict_linear"):
+        return _regression(fn, r, grid, args)
+    if fn == "quantile_over_time":
+        return _quantile(r, grid, args[0])
+    if fn == "mad_over_time":
+        return _mad(r, grid)
+    if fn == "double_exponential_smoothing":
+        return _smooth(r, grid, *args)
+    raise UnsupportedExpression(fn)

@@ -13,7 +13,7 @@ from .along import next_time
 from .window import first_step, last_step, spread, windows
 
 #: A lookback of more steps than this is done by each sample's successor, not by copies.
-COPIES = 4
+COPIES = 3
 
 
 def scan(source, select: Select, low: int, high: int, options: Options) -> Samples:
@@ -51,7 +51,7 @@ def instant(source, select: Select, grid: Grid, options: Options) -> Vector:
     carried = ["v", *(["h"] if found.hist else []), *(["stale"] if found.stale else [])]
     if own.count > 1 and width > COPIES * own.step:
         # A sample holds from its own step until its successor's, or until it is too old.
-        df = next_time(found.df, labels, "__later", options.series_chunk)
+        df = next_time(found.df, labels, "__later", options.chunk(own.start - width, own.last))
         until = F.least(last_step(F.col("t"), own, select.offset, width), F.coalesce(first_step(F.col("__later"), own, select.offset) - 1, F.lit(own.count).cast("long")))
         df = spread(df, own, first_step(F.col("t"), own, select.offset), until)
         df = df.select(*[ref(x) for x in found.labels], "step", "t", *carried)

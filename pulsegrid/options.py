@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: 30 days in ms.
+LONG_CHUNK = 2_592_000_000
+
+
 @dataclass(frozen=True)
 class Options:
     """Durations in ms.
@@ -13,9 +17,9 @@ class Options:
     extended functions look before a window. sub_step: a subquery's default step.
     max_samples: 0, or how many samples a selector may hold.
     timeout: 0, or seconds after which a query's collection is cancelled.
-    series_chunk: 0, or the time range in which one task sorts a series' samples. To be
-    set where single series are longer than that: the parts of a series are then worked
-    on side by side.
+    series_chunk: the time range in which one task sorts a series' samples; beyond it the
+    parts of a series are worked on side by side. 0: never cut. None: LONG_CHUNK where
+    the query reads more than two of them.
     """
 
     lookback: int = 300_000
@@ -23,6 +27,12 @@ class Options:
     sub_step: int = 60_000
     max_samples: int = 0
     timeout: float = 0
-    series_chunk: int = 0
+    series_chunk: int | None = None
     extended: bool = False
     optimize: bool = True
+
+    def chunk(self, low: int, high: int) -> int:
+        """How series are cut by a query that reads the times from low to high."""
+        if self.series_chunk is not None:
+            return self.series_chunk
+        return LONG_CHUNK if high - low > 2 * LONG_CHUNK else 0

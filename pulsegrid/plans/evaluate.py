@@ -238,10 +238,11 @@ class Evaluator:
 
     def window_samples(self, node: Window, grid: Grid, extra: int) -> ranges.Ranged:
         s = node.select
-        found = selects.scan(self.source, s, grid.start - s.offset - node.width - extra, grid.last - s.offset, self.options)
+        low, high = grid.start - s.offset - node.width - extra, grid.last - s.offset
+        found = selects.scan(self.source, s, low, high, self.options)
         df = found.df.filter("NOT coalesce(stale, false)") if found.stale else found.df
         df = df.select(*[ref(x) for x in found.labels], "t", "v", *(["h"] if found.hist else []))
-        return ranges.Ranged(df, found.labels, found.hist, found.named, node.width, s.offset, chunk=self.options.series_chunk)
+        return ranges.Ranged(df, found.labels, found.hist, found.named, node.width, s.offset, chunk=self.options.chunk(low, high))
 
     def subquery_samples(self, node: Subquery, grid: Grid) -> ranges.Ranged:
         """The inner query on its own grid of absolute multiples of its step, as samples."""
@@ -259,7 +260,7 @@ class Evaluator:
         else:
             x = self.vector(node.expr, inner)
         df = x.df.select(*x.cols, F.col("step").alias("t"), *x.value)
-        return ranges.Ranged(df, x.labels, x.hist, x.named, node.width, node.offset, True, self.options.series_chunk, x.unique)
+        return ranges.Ranged(df, x.labels, x.hist, x.named, node.width, node.offset, True, self.options.chunk(low, end), x.unique)
 
     # Several sources.
 
