@@ -1,7 +1,8 @@
 """Named queries over the driver's tables, each with the SQL that means the same.
 
-A query returns its labels (strings), ``step`` (epoch ms) and ``v`` rounded to six
-places (see NUDGE). The SQL joins samples to the grid by time, which is how the language defines
+A query returns its labels (strings), ``step`` (epoch ms) and ``v`` rounded to eight
+significant digits (see NUDGE). A result of native histograms has a row for each part:
+count, sum, zero and every bucket. The SQL joins samples to the grid by time, which is how the language defines
 windows; the engine has no such join.
 """
 
@@ -18,18 +19,28 @@ from .options import Options
 from .sources.tables import table_catalog
 
 HOUR, DAY = 3_600_000, 86_400_000
-START, END, STEP = 1_704_153_600_000, 1_706_572_800_000, 21_600_000
+START, END, STEP = 1_704_153_600_000, 1_706_659_200_000, 21_600_000
 #: The days of orders and lineitem, 1995-01-01 to 2001-11-04; their queries have this grid.
 SPAN = (788_918_400_000, 1_004_832_000_000, DAY)
 
 
-#: Added before rounding, so that a value just between two roundings isn't decided by the
-#: last bit of a sum.
-NUDGE = 3.14159e-8
+#: Values are scaled by this before rounding, so that one just between two roundings
+#: isn't decided by the last bit of a sum; smaller ones than TINY are 0.
+NUDGE, TINY = 1.0 + 3.14159e-11, 1e-11
 
 
 def rounded(v: Column) -> Column:
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), v).otherwise(F.round(v + NUDGE, 6) + 0.0)
+    digits = F.format_string("%.7e", v * NUDGE).try_cast("double")
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), v).when(F.abs(v) < TINY, F.lit(0.0)).otherwise(digits)
+
+
+def parts_of(df: DataFrame, labels: list[Column]) -> DataFrame:
+    """Rows (labels, part, step, v) of a result with histograms."""
+    h = F.col("h")
+    part = lambda name, v: F.struct(name.alias("part"), v.alias("v"))
+    cells = F.transform(F.filter(F.map_entries(h["pos"]), lambda e: e["value"] != 0), lambda e: part(F.concat(F.lit("p"), e["key"].cast("string")), e["value"]))
+    fixed = F.array(*[part(F.lit(n), h[c]) for n, c in (("count", "count"), ("sum", "sum"), ("zero", "zero_count"))])
+    return df.filter("h IS NOT NULL").select(*labels, "step", F.explode(F.concat(fixed, cells)).alias("__p")).select(*labels, "__p.part", "step", rounded(F.col("__p.v")).alias("v"))
 
 
 @dataclass(frozen=True)
@@ -46,8 +57,10 @@ class Named:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         engine = MetricsEngine(spark, table_catalog(spark, sf_dir), self.options)
         r = engine.range(self.query, *self.grid) if self.instant is None else engine.instant(self.query, self.instant)
-        v = rounded(F.col("v"))
-        return r.df.select(*[F.col(f"`{n}`") for n in r.labels], "step", v.alias("v"))
+        labels = [F.col(f"`{n}`") for n in r.labels]
+        if "h" in r.df.columns:
+            return parts_of(r.df, labels)
+        return r.df.select(*labels, "step", rounded(F.col("v")).alias("v"))
 
 
 # SQL parts. ``s`` are samples, ``g`` the grid.
@@ -77,7 +90,8 @@ def _newest(src: str = "s", labels: str = USER, width: int = DAY, off: int = 0,
 
 def _final(labels: str, v: str, src: str, more: str = "") -> str:
     cols = f"{labels}, " if labels else ""
-    return f"SELECT {cols}CAST(step AS BIGINT) AS step, CASE WHEN isfinite(CAST({v} AS DOUBLE)) THEN round(CAST({v} AS DOUBLE) + {NUDGE}, 6) + 0.0 ELSE CAST({v} AS DOUBLE) END AS v FROM {src} {more}"
+    value = f"CASE WHEN abs(__v) < {TINY} THEN 0.0 WHEN isfinite(__v) THEN CAST(printf('%.7e', __v * {NUDGE!r}::DOUBLE) AS DOUBLE) ELSE __v END"
+    return f"SELECT * EXCLUDE (__v) REPLACE ({value} AS v) FROM (SELECT {cols}CAST(step AS BIGINT) AS step, CAST({v} AS DOUBLE) AS __v, CAST(0 AS DOUBLE) AS v FROM {src} {more})"
 
 
 def _over_newest(v: str, labels: str = TYPE, more: str = "", group: bool = True) -> str:
@@ -205,6 +219,75 @@ def _x(fn: str, width: int) -> str:
     return _with(s=_EVT, x=x, w=w, h=h, u=u, q=q, r=f"SELECT {USER}, step, {v} AS v FROM q") + _final(USER, "v", "r")
 
 
+_ZERO_CELL = "CASE WHEN value <= 0.001 THEN -1000 ELSE CAST(ceil(log2(value)) AS INT) END"
+_CUSTOM_CELL = " + ".join(f"CAST(value > {b} AS INT)" for b in (1, 5, 10, 50, 100, 500))
+_BY_STEP = "step, i"
+_BY_TYPE = "event_type, step, i"
+
+
+def _native(cell: str = _ZERO_CELL) -> dict[str, str]:
+    """nb: running counts and sums of every bucket at each hour; sel: those of the newest hour at each step."""
+    return {
+        "cells": f"SELECT event_type, (epoch_ms(ts) // {HOUR} + 1) * {HOUR} AS t, {cell} AS i, count(*) AS n, sum(value) AS s FROM events GROUP BY ALL",
+        "nb": "SELECT event_type, t, i, CAST(sum(coalesce(n, 0)) OVER w AS DOUBLE) AS c, sum(coalesce(s, 0)) OVER w AS s FROM (SELECT DISTINCT event_type, t FROM cells) JOIN (SELECT DISTINCT event_type, i FROM cells) USING (event_type) LEFT JOIN cells USING (event_type, t, i) WINDOW w AS (PARTITION BY event_type, i ORDER BY t)",
+        "nt": "SELECT event_type, t, sum(c) AS v FROM nb GROUP BY ALL",
+        "sel": f"SELECT event_type, step, i, c, nb.s AS s FROM (SELECT event_type, step, max(t) AS t FROM nt JOIN g ON t <= step AND t > step - {DAY} GROUP BY ALL) JOIN nb USING (event_type, t)",
+    }
+
+
+def _native_rate(cell: str = _ZERO_CELL) -> dict[str, str]:
+    """rt: the rate of every bucket over a day, extrapolated as the count's."""
+    rate = {k: x for k, x in _rate_parts("SELECT * FROM nt", TYPE, DAY, "rate").items() if k != "c"}
+    near = "CASE WHEN raw > 0 AND v0 >= 0 THEN least(a1, sampled * v0 / raw) ELSE a1 END"
+    fx = f"SELECT event_type, step, t0, t1, (sampled + {near} + b1) / sampled / {DAY / 1000} AS k FROM f"
+    rt = "SELECT l.event_type AS event_type, step, l.i AS i, (l.c - z.c) * k AS c, (l.s - z.s) * k AS s FROM fx JOIN nb l ON fx.event_type = l.event_type AND t1 = l.t JOIN nb z ON fx.event_type = z.event_type AND t0 = z.t AND l.i = z.i"
+    return _native(cell) | rate | {"fx": fx, "rt": rt}
+
+
+def _parts(parts: dict[str, str], src: str, labels: str = TYPE) -> str:
+    """Histograms ``src`` as rows: count, sum, zero, and buckets that hold something."""
+    own = f"{labels}, " if labels else ""
+    total = lambda name, v: f"SELECT {own}step, '{name}' AS part, {v} AS v FROM {src} GROUP BY {own}step"
+    rows = [total("count", "sum(c)"), total("sum", "sum(s)"), total("zero", "sum(CASE WHEN i = -1000 THEN c ELSE 0 END)"), f"SELECT {own}step, 'p' || i AS part, c AS v FROM {src} WHERE i <> -1000 AND c <> 0"]
+    return _with(**parts, r=" UNION ALL ".join(rows)) + _final(f"{own}part", "v", "r")
+
+
+def _of_native(parts: dict[str, str], src: str, v: str) -> str:
+    """A value of each histogram ``src`` from its cells' bounds lo, hi, counts c, running counts up, total n and mean."""
+    b = "SELECT *, CASE WHEN i = -1000 THEN 0 ELSE 2.0 ** (i - 1) END AS lo, CASE WHEN i = -1000 THEN 0.001 ELSE 2.0 ** i END AS hi FROM " + src
+    return _with(**parts, b=b, q=_CELLS, r=f"SELECT event_type, step, {v} AS v FROM q GROUP BY event_type, step") + _final(TYPE, "v", "r")
+
+
+def _of_custom(parts: dict[str, str], src: str, v: str) -> str:
+    bounds = "[1.0, 5.0, 10.0, 50.0, 100.0, 500.0]"
+    b = f"SELECT *, CASE WHEN i = 0 THEN '-inf'::DOUBLE ELSE {bounds}[i] END AS lo, CASE WHEN i = 6 THEN 'inf'::DOUBLE ELSE {bounds}[i + 1] END AS hi FROM " + src
+    return _with(**parts, b=b, q=_CELLS, r=f"SELECT event_type, step, {v} AS v FROM q GROUP BY event_type, step") + _final(TYPE, "v", "r")
+
+
+_CELLS = "SELECT *, sum(c) OVER (PARTITION BY event_type, step ORDER BY i) AS up, sum(c) OVER (PARTITION BY event_type, step) AS n, sum(s) OVER (PARTITION BY event_type, step) / sum(c) OVER (PARTITION BY event_type, step) AS mean, max(i) OVER (PARTITION BY event_type, step) AS top FROM b WHERE c <> 0"
+_MIDDLE = "CASE WHEN i = -1000 THEN 0 ELSE sqrt(lo * hi) END"
+_SPREAD = f"sum(c * ({_MIDDLE} - mean) ** 2) / max(n)"
+
+
+def _native_quantile(q: float) -> str:
+    f = f"least(1, greatest(0, ({q} * n - (up - c)) / c))"
+    return f"arg_min(CASE WHEN i = -1000 THEN hi * {f} ELSE lo * 2 ** {f} END, i) FILTER (WHERE up >= {q} * n OR i = top)"
+
+
+def _custom_quantile(q: float) -> str:
+    low = "CASE WHEN i = 0 THEN 0 ELSE lo END"
+    f = f"least(1, greatest(0, ({q} * n - (up - c)) / c))"
+    return f"arg_min(CASE WHEN i = 6 THEN lo ELSE {low} + (hi - {low}) * {f} END, i) FILTER (WHERE up >= {q} * n OR i = top)"
+
+
+def _native_fraction(lo: float, hi: float) -> str:
+    share = lambda x: f"sum(CASE WHEN hi <= {x} THEN c WHEN lo >= {x} THEN 0 WHEN i = -1000 THEN c * {x} / hi ELSE c * (log2({x}) - log2(lo)) / (log2(hi) - log2(lo)) END)"
+    return f"({share(hi)} - {share(lo)}) / max(n)"
+
+
+_NH, _NC = "event_value_native", "event_value_custom"
+_RATE_SUM = {**_native_rate(), "rs": "SELECT step, i, sum(c) AS c, sum(s) AS s FROM rt GROUP BY ALL"}
+_SEL_SUM = {**_native(), "sm": "SELECT step, i, sum(c) AS c, sum(s) AS s FROM sel GROUP BY ALL"}
 _MATH = "abs(-v) + ceil(v) + floor(v) + sqrt(v) + ln(v) + log2(v) + log10(v) + exp(v / 1000)"
 _QUANT = "quantile_cont(v, 0.9)"
 _X = Options(lookback=DAY, sub_step=STEP, extended=True)
@@ -220,8 +303,7 @@ QUERIES: dict[str, Named] = {
     "sel_matchers": Named(f'{_E}{{event_type=~"c.*|v.*",user_id!="1"}}', _with(s=_EV, i=_newest(where="(event_type LIKE 'c%' OR event_type LIKE 'v%') AND user_id <> '1'")) + _final(_NAMED, "v", "i")),
     "sel_not_regex": Named(f'{_E}{{event_type!~"c.*",user_id="3"}}', _with(s=_EV, i=_newest(where="event_type NOT LIKE 'c%' AND user_id = '3'")) + _final(_NAMED, "v", "i")),
     "sel_timestamp": Named(f"timestamp({_E})", _with(s=_EV, i=_newest()) + _final(USER, "t / 1000.0", "i")),
-    "sel_orders": Named("order_price", _with(s=_OP, i=_newest(labels="status, priority")) + _final("'order_price' AS __name__, priority, status", "v", "i")),
-    "sel_orders_span": Named("order_price", _with(g=_G_SPAN, s=_OP, i=_newest(labels="status, priority")) + _final("'order_price' AS __name__, priority, status", "v", "i"), grid=SPAN),
+    "sel_orders": Named("order_price", _with(g=_G_SPAN, s=_OP, i=_newest(labels="status, priority")) + _final("'order_price' AS __name__, priority, status", "v", "i"), grid=SPAN),
     # Aggregations.
     "agg_sum_by": Named(f"sum by (event_type) ({_E})", _over_newest("sum(v)")),
     "agg_avg_by": Named(f"avg by (event_type) ({_E})", _over_newest("avg(v)")),
@@ -236,8 +318,7 @@ QUERIES: dict[str, Named] = {
     "agg_sum_without": Named(f"sum without (user_id) ({_E})", _over_newest("sum(v)")),
     "agg_sum_all": Named(f"sum({_E})", _over_newest("sum(v)", "")),
     "agg_count_values": Named(f'count_values by (event_type) ("value", round({_E}))', _with(s=_EV, i=_newest(), r="SELECT event_type, CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) AS value, step, count(*) AS v FROM i GROUP BY ALL") + _final("event_type, value", "v", "r")),
-    "agg_sum_lineitem": Named("sum by (returnflag) (line_quantity)", _with(s=_LQ, i=_newest(labels="returnflag, linestatus"), r="SELECT returnflag, step, sum(v) AS v FROM i GROUP BY ALL") + _final("returnflag", "v", "r")),
-    "agg_sum_lineitem_span": Named("sum by (returnflag) (line_quantity)", _with(g=_G_SPAN, s=_LQ, i=_newest(labels="returnflag, linestatus"), r="SELECT returnflag, step, sum(v) AS v FROM i GROUP BY ALL") + _final("returnflag", "v", "r"), grid=SPAN),
+    "agg_sum_lineitem": Named("sum by (returnflag) (line_quantity)", _with(g=_G_SPAN, s=_LQ, i=_newest(labels="returnflag, linestatus"), r="SELECT returnflag, step, sum(v) AS v FROM i GROUP BY ALL") + _final("returnflag", "v", "r"), grid=SPAN),
     "topk_by": Named(f"topk by (event_type) (3, {_E})", _ranked(3, f"v DESC, {USER}")),
     "bottomk_by": Named(f"bottomk by (event_type) (2, {_E})", _ranked(2, f"v, {USER}")),
     "limitk_by": Named(f"limitk by (event_type) (2, {_E})", _ranked(2, USER)),
@@ -323,6 +404,24 @@ QUERIES: dict[str, Named] = {
     "hist_quantile": Named("histogram_quantile(0.9, sum by (event_type, le) (rate(event_value_bucket[1d])))", _hist_quantile(0.9)),
     "hist_quantile_low": Named("histogram_quantile(0.1, sum by (event_type, le) (rate(event_value_bucket[1d])))", _hist_quantile(0.1)),
     "hist_fraction": Named("histogram_fraction(20, 200, sum by (event_type, le) (rate(event_value_bucket[1d])))", _hist_fraction(20, 200)),
+    # Native histograms.
+    "native_select": Named(_NH, _parts(_native(), "sel", TYPE).replace("SELECT event_type, part, CAST", "SELECT event_type, 'event_value_native' AS __name__, part, CAST")),
+    "native_sum": Named(f"sum({_NH})", _parts(_SEL_SUM, "sm", "")),
+    "native_avg": Named(f"avg({_NH})", _parts({**_native(), "sm": "SELECT step, i, sum(c) / max(k) AS c, sum(s) / max(k) AS s FROM sel JOIN (SELECT step, count(DISTINCT event_type) AS k FROM sel GROUP BY step) USING (step) GROUP BY step, i"}, "sm", "")),
+    "native_rate": Named(f"rate({_NH}[1d])", _parts(_native_rate(), "rt")),
+    "native_sum_rate": Named(f"sum(rate({_NH}[1d]))", _parts(_RATE_SUM, "rs", "")),
+    "native_scaled": Named(f"{_NH} * 3 / 2", _parts({**_native(), "x": "SELECT event_type, step, i, c * 1.5 AS c, s * 1.5 AS s FROM sel"}, "x")),
+    "native_count": Named(f"histogram_count(rate({_NH}[1d]))", _of_native(_native_rate(), "rt", "max(n)")),
+    "native_sum_of_values": Named(f"histogram_sum(rate({_NH}[1d]))", _of_native(_native_rate(), "rt", "max(n) * max(mean)")),
+    "native_mean": Named(f"histogram_avg({_NH})", _of_native(_native(), "sel", "max(mean)")),
+    "native_quantile": Named(f"histogram_quantile(0.9, rate({_NH}[1d]))", _of_native(_native_rate(), "rt", _native_quantile(0.9))),
+    "native_quantile_low": Named(f"histogram_quantile(0.1, {_NH})", _of_native(_native(), "sel", _native_quantile(0.1))),
+    "native_fraction": Named(f"histogram_fraction(20, 200, rate({_NH}[1d]))", _of_native(_native_rate(), "rt", _native_fraction(20, 200))),
+    "native_stddev": Named(f"histogram_stddev({_NH})", _of_native(_native(), "sel", f"sqrt({_SPREAD})")),
+    "native_stdvar": Named(f"histogram_stdvar(rate({_NH}[1d]))", _of_native(_native_rate(), "rt", _SPREAD)),
+    "native_count_values": Named(f"count({_NH}) + group({_NH})", _with(**_native(), r="SELECT step, count(DISTINCT event_type) + 1 AS v FROM sel GROUP BY step") + _final("", "v", "r")),
+    "native_custom_quantile": Named(f"histogram_quantile(0.6, rate({_NC}[1d]))", _of_custom(_native_rate(_CUSTOM_CELL), "rt", _custom_quantile(0.6))),
+    "native_custom_sum": Named(f"sum({_NC})", _parts({**_native(_CUSTOM_CELL), "sm": "SELECT step, i, sum(c) AS c, sum(s) AS s FROM sel GROUP BY ALL"}, "sm", "")),
     # Subqueries.
     "sub_max_rate": Named("max_over_time(rate(events_total[6h])[1d:6h])", _sub({**_rate_parts(_ET, TYPE, 6 * HOUR, "rate"), "y": "SELECT * FROM c"}, "max(y.v)", TYPE, DAY)),
     "sub_avg_sum": Named(f"avg_over_time(sum by (event_type) ({_E})[2d:6h])", _sub({"s": _EV, "i": _newest(), "y": "SELECT event_type, step, sum(v) AS v FROM i GROUP BY ALL"}, "avg(y.v)", TYPE, 2 * DAY)),
