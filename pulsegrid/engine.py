@@ -20,6 +20,7 @@ from .lang.parser import parse
 from .operators import labels as label_ops
 from .options import Options
 from .plans import rules as R
+from .plans.codec import fingerprint
 from .plans.evaluate import Evaluator, checked
 from .session import reachable
 
@@ -75,13 +76,26 @@ class Result:
         own that stops at the first row, so they are only looked for when asked."""
         return self.warnings + [text for text, rows in self.checks if rows.limit(1).count()]
 
+    def operators(self) -> list[dict]:
+        """The plan's operators from the root: depth, kind, and the fingerprint of the plan below it."""
+        out: list[dict] = []
+
+        def visit(node: Node, depth: int) -> None:
+            out.append({"id": fingerprint(node), "depth": depth, "operator": type(node).__name__})
+            for x in node.children():
+                visit(x, depth + 1)
+
+        if self.plan is not None:
+            visit(self.plan, 0)
+        return out
+
     def analyze(self) -> dict:
-        """Runs the query without keeping its rows: rows, seconds, both plans."""
+        """Runs the query without keeping its rows: rows, seconds, both plans, and what each Spark operator counted."""
         seen = Observation()
         df = self.df.observe(seen, F.count(F.lit(1)).alias("rows"))
         start = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
-        return {"rows": seen.get["rows"], "seconds": time.perf_counter() - start, "plan": self.explain(), "spark": df._jdf.queryExecution().executedPlan().toString()}
+        return {"rows": seen.get["rows"], "seconds": time.perf_counter() - start, "plan": self.explain(), "spark": df._jdf.queryExecution().executedPlan().toString(), "operators": _measured(df.sparkSession)}
 
     def series(self) -> dict[tuple[tuple[str, str], ...], list[tuple[int, float]]]:
         """For small results: label pairs (absent ones left out) to points in time order."""
@@ -96,6 +110,24 @@ class Result:
         return R.explain(self.plan) if self.plan is not None else ""
 
 
+def _measured(spark: SparkSession) -> list[dict]:
+    """The last execution's Spark operators with their metrics, as the session's status store has them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsList()
+    if not done.size():
+        return []
+    number = done.last().executionId()
+    values, nodes, out = store.executionMetrics(number), store.planGraph(number).allNodes(), []
+    for i in range(nodes.size()):
+        node, own = nodes.apply(i), {}
+        for k in range(node.metrics().size()):
+            metric = node.metrics().apply(k)
+            if (v := values.get(metric.accumulatorId())).isDefined():
+                own[metric.name()] = v.get()
+        out.append({"operator": node.name(), "metrics": own})
+    return out
+
+
 def milliseconds(x: int | float | str | dt.datetime | dt.timedelta) -> int:
     """Epoch ms or a duration: numbers are ms, strings durations, datetimes UTC."""
     if isinstance(x, str):

@@ -62,6 +62,7 @@ class Select(Node):
     """Instant selector. ``at`` is None, 'start', 'end' or epoch ms; ``own_time`` returns samples' own times.
 
     ``wide`` is a broader set of matchers to scan by, where several selectors share a scan.
+    ``stats`` returns histograms' counts and sums without their buckets.
     """
 
     matchers: tuple[Matcher, ...]
@@ -69,6 +70,7 @@ class Select(Node):
     at: Any = None
     own_time: bool = False
     wide: tuple[Matcher, ...] = ()
+    stats: bool = False
 
 
 @dataclass(frozen=True)

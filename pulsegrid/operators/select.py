@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.histograms import DDL as HISTOGRAM
 from ..grid import Grid, Vector, col, ref
 from ..lang.nodes import NAME, Select
 from ..options import Options
@@ -16,8 +20,11 @@ from .window import first_step, last_step, spread, windows
 COPIES = 3
 
 
-def scan(source, select: Select, low: int, high: int, options: Options) -> Samples:
-    """Samples of the selector's series in ``(low, high]``; residual matchers are put on a shared wide scan."""
+def scan(source, select: Select, low: int, high: int, options: Options, held: list[DataFrame]) -> Samples:
+    """Samples of the selector's series in ``(low, high]``; residual matchers are put on a shared wide scan.
+
+    ``held`` has the counts of the query's scans so far: the limit of samples is the query's.
+    """
     found = source.scan(select.wide or select.matchers, low, high)
     df = found.df
     if select.wide:
@@ -27,7 +34,8 @@ def scan(source, select: Select, low: int, high: int, options: Options) -> Sampl
     if options.max_samples:
         over = F.raise_error(F.lit(f"PULSEGRID_SAMPLES: query holds more than {options.max_samples} samples"))
         # One count beside the rows, not a window over all of them in one task.
-        n = df.agg((F.count(F.lit(1)) > options.max_samples).alias("__over"))
+        held.append(df.agg(F.count(F.lit(1)).alias("__n")))
+        n = reduce(DataFrame.unionByName, held).agg((F.sum("__n") > options.max_samples).alias("__over"))
         df = df.crossJoin(F.broadcast(n)).filter(F.when(F.col("__over"), over.cast("boolean")).otherwise(F.lit(True))).drop("__over")
     return Samples(df, found.labels, found.hist, found.stale, found.named)
 
@@ -42,11 +50,19 @@ def repeated(df: DataFrame, grid: Grid) -> DataFrame:
     return df.drop("step").crossJoin(F.broadcast(grid.df(df.sparkSession))) if grid.count > 1 else df.withColumn("step", F.lit(grid.start).cast("long"))
 
 
-def instant(source, select: Select, grid: Grid, options: Options) -> Vector:
+def without_buckets(h: Column) -> Column:
+    """A histogram's schema, count and sum; of a stored one only these are read."""
+    none = {"zero_threshold": F.lit(0.0), "zero_count": F.lit(0.0), "pos": F.lit(None), "neg": F.lit(None), "custom": F.lit(None), "hint": F.lit(0)}
+    return F.when(h["count"].isNotNull(), F.struct(*[h[c].alias(c) for c in ("schema", "count", "sum")], *[v.alias(c) for c, v in none.items()]).cast(HISTOGRAM))
+
+
+def instant(source, select: Select, grid: Grid, options: Options, held: list[DataFrame]) -> Vector:
     """For each series and step the newest sample in ``(step - offset - lookback, step - offset]``."""
     own = span(grid, select.at)
     width = options.lookback
-    found = scan(source, select, own.start - select.offset - width, own.last - select.offset, options)
+    found = scan(source, select, own.start - select.offset - width, own.last - select.offset, options, held)
+    if select.stats and found.hist:
+        found = replace(found, df=found.df.withColumn("h", without_buckets(F.col("h"))))
     labels = [col(x) for x in found.labels]
     carried = ["v", *(["h"] if found.hist else []), *(["stale"] if found.stale else [])]
     if own.count > 1 and width > COPIES * own.step:

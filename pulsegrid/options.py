@@ -15,7 +15,7 @@ class Options:
 
     lookback: how long a sample stays the newest one. extended_lookback: how far the
     extended functions look before a window. sub_step: a subquery's default step.
-    max_samples: 0, or how many samples a selector may hold.
+    max_samples: 0, or how many samples a query's selectors may hold together.
     timeout: 0, or seconds after which a query's collection is cancelled.
     series_chunk: the time range in which one task sorts a series' samples; beyond it the
     parts of a series are worked on side by side. 0: never cut. None: LONG_CHUNK where

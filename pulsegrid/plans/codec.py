@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
 import math
 
@@ -35,5 +36,10 @@ def plan_to_json(node: L.Node) -> str:
     return json.dumps(_out(node), ensure_ascii=False)
 
 
+def fingerprint(node: L.Node) -> str:
+    """Equal plans have equal ones; 16 hexadecimal digits."""
+    return hashlib.sha256(plan_to_json(node).encode()).hexdigest()[:16]
+
+
 def plan_from_json(data: str) -> L.Node:
     return _in(json.loads(data))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError, UnsupportedExpression
@@ -30,6 +30,7 @@ class Evaluator:
         self.spark, self.source, self.options, self.sources = spark, source, options, sources
         self.warnings: list[str] = []
         self.checks: list[tuple] = []
+        self.held: list[DataFrame] = []
         self._scalars = 0
 
     def warn(self, text: str) -> None:
@@ -66,7 +67,7 @@ class Evaluator:
 
     def vector(self, node: Node, grid: Grid) -> Vector:
         if isinstance(node, Select):
-            return selects.instant(self.source, node, grid, self.options)
+            return selects.instant(self.source, node, grid, self.options, self.held)
         if isinstance(node, Paren):
             return self.vector(node.expr, grid)
         if isinstance(node, Unique):
@@ -239,7 +240,7 @@ class Evaluator:
     def window_samples(self, node: Window, grid: Grid, extra: int) -> ranges.Ranged:
         s = node.select
         low, high = grid.start - s.offset - node.width - extra, grid.last - s.offset
-        found = selects.scan(self.source, s, low, high, self.options)
+        found = selects.scan(self.source, s, low, high, self.options, self.held)
         df = found.df.filter("NOT coalesce(stale, false)") if found.stale else found.df
         df = df.select(*[ref(x) for x in found.labels], "t", "v", *(["h"] if found.hist else []))
         return ranges.Ranged(df, found.labels, found.hist, found.named, node.width, s.offset, chunk=self.options.chunk(low, high))

@@ -350,6 +350,7 @@ QUERIES: dict[str, Named] = {
     "first_over_time": Named("first_over_time(event_value[1d])", _over_window("arg_min(v, t)").replace(f"SELECT {USER}, CAST(step", f"SELECT {_NAMED}, CAST(step")),
     "present_over_time": Named("present_over_time(event_value[1d])", _over_window("1")),
     "quantile_over_time": Named("quantile_over_time(0.9, event_value[1d])", _over_window(_QUANT)),
+    "quantile_over_time_varying": Named(f"quantile_over_time(scalar(count({_E})) % 2 / 2, event_value[1d])", _with(s=_EV, i=_newest(), n="SELECT step, count(*) % 2 / 2.0 AS q FROM i GROUP BY step", w=f"SELECT {USER}, step, min(v) AS lo, median(v) AS mid FROM s JOIN g ON t <= step AND t > step - {DAY} GROUP BY {USER}, step", r=f"SELECT {USER}, step, CASE WHEN q = 0 THEN lo ELSE mid END AS v FROM w JOIN n USING (step)") + _final(USER, "v", "r")),
     "mad_over_time": Named("mad_over_time(event_value[3d])", _over_window("mad(v)", width=3 * DAY)),
     "ts_of_max_over_time": Named("ts_of_max_over_time(event_value[1d])", _over_window("arg_max(t, v) / 1000.0")),
     "ts_of_min_over_time": Named("ts_of_min_over_time(event_value[1d])", _over_window("arg_min(t, v) / 1000.0")),
@@ -434,10 +435,10 @@ QUERIES: dict[str, Named] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .federated import two_sources
+    from .federated import overlapping_sources, two_sources
 
-    return {name: q.run for name, q in QUERIES.items()} | {"fed_two_sources": two_sources}
+    return {name: q.run for name, q in QUERIES.items()} | {"fed_two_sources": two_sources, "fed_overlapping": overlapping_sources}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {"fed_two_sources": QUERIES["agg_avg_by"].sql}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {"fed_two_sources": QUERIES["agg_avg_by"].sql, "fed_overlapping": QUERIES["agg_sum_by"].sql}

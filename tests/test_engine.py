@@ -4,12 +4,13 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.engine import MetricsEngine
 from pulsegrid.errors import DuplicateSeries, ManyToMany, QueryError, TooManySamples, UnsupportedExpression
 from pulsegrid.federated import FederatedEngine, Member, Part
 from pulsegrid.grid import Vector
-from pulsegrid.lang.nodes import Select, UserNode
+from pulsegrid.lang.nodes import Matcher, Select, UserNode
 from pulsegrid.lang.parser import parse
 from pulsegrid.options import Options
 from pulsegrid.plans import rules as R
@@ -375,6 +376,49 @@ def test_orders_and_lineitem_are_read_whole(spark):
         assert {r.step for r in queries.QUERIES[name].run(spark, sf).collect()} == days
 
 
+def test_no_named_query_is_empty(spark):
+    import os
+
+    from pulsegrid import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    for name in ("sel_matchers", "absent_over_time", "fed_overlapping", "quantile_over_time_varying", "native_select", "native_sum_rate", "native_custom_quantile", "bin_vector_cmp", "set_and"):
+        assert queries.queries()[name](spark, sf).limit(1).count(), name
+
+
+def test_limit_of_samples_is_the_querys(spark, mixed):
+    source, _ = mixed
+    n = sum(source.scan([Matcher("__name__", "=", m)], -1, 10**12).df.count() for m in ("gauge", "limits"))
+    ask = lambda most: MetricsEngine(spark, source, Options(max_samples=most)).instant("sum(count_over_time(gauge[1h])) + sum(count_over_time(limits[1h]))", 2_000_000).series()
+    assert ask(n)
+    with pytest.raises(TooManySamples):
+        ask(n - 1)
+
+
+def test_counts_of_stored_histograms_read_no_buckets(spark, native, tmp_path):
+    from pulsegrid.sources.series import from_table
+
+    rows = native.scan([], -1, 10**9).df.filter("h IS NOT NULL")
+    rows.select(F.col("l_pod").alias("pod"), "t", "h").write.parquet(str(tmp_path / "h"))
+    stored = from_table(spark.read.parquet(str(tmp_path / "h")), "m", {"pod": "pod"}, "t", F.lit(None).cast("double"), h="h")
+    e = MetricsEngine(spark, stored)
+    for q in ("histogram_count(m)", "histogram_avg(m)", "histogram_sum(m)"):
+        r = e.instant(q, 150_000)
+        plan = r.df._jdf.queryExecution().executedPlan().toString()
+        assert "h:struct<schema:int,count:double,sum:double>" in plan[plan.index("ReadSchema") :], plan
+        whole = {k: v for k, v in MetricsEngine(spark, native).instant(q, 150_000).series().items()}
+        got = r.series()
+        assert got and all(close(got[k][0][1], whole[k][0][1]) for k in got)
+
+
+def test_operators_are_named_by_what_they_compute(spark, mixed):
+    e = MetricsEngine(spark, mixed[0])
+    a, b, c = (e.range(q, 0, 60_000, 30_000).operators() for q in ("sum(gauge) / 2", "sum( gauge )/2", "sum(limits) / 2"))
+    assert a == b and a[0]["id"] != c[0]["id"] and [x["depth"] for x in a][:2] == [0, 1] and len({x["id"] for x in a}) == len(a)
+
+
 def test_named_queries_have_sql():
     from pulsegrid import queries
 
@@ -400,6 +444,7 @@ def test_warnings_timeouts_and_analysis(spark, native, mixed):
     assert not h.instant('histogram_quantile(0.5, h_bucket{pod="a"})', 60_000).data_warnings()
     seen = MetricsEngine(spark, mixed[0]).range("sum(gauge)", 0, 120_000, 30_000).analyze()
     assert seen["rows"] == 5 and "Aggregate" in seen["plan"] and "HashAggregate" in seen["spark"]
+    assert any("Aggregate" in x["operator"] and any("rows" in m for m in x["metrics"]) for x in seen["operators"])
     slow = spark.range(0, 1 << 40).selectExpr("'m' l___name__", "id % 1000 t", "cast(hash(id) as double) v")
     from pulsegrid.sources.series import FrameSource
 
