@@ -146,6 +146,25 @@ def spread(v: Column, fn) -> Column:
     return F.when(F.max(odd), nan()).otherwise(fn(F.when(~odd, v)))
 
 
+def pieces(v: Column) -> tuple[Column, Column, Column]:
+    """``v`` as three numbers that add up to it: multiples of 2**20, of 2**-20, and the rest.
+
+    Sums of the first two are exact while they stay below 2**73 and 2**33, in whatever
+    order partial sums meet; so large numbers that cancel leave the small ones whole.
+    """
+    odd = F.isnan(v) | (F.abs(v) == inf())
+    coarse = F.rint(v * 2.0**-20) * 2.0**20
+    rest = v - coarse
+    fine = F.rint(rest * 2.0**20) * 2.0**-20
+    return F.when(odd, v).otherwise(coarse), F.when(odd, d(0)).otherwise(fine), F.when(odd, d(0)).otherwise(rest - fine)
+
+
+def total(v: Column) -> Column:
+    """Aggregate: the sum by pieces."""
+    coarse, fine, rest = pieces(v)
+    return F.sum(coarse) + (F.sum(fine) + F.sum(rest))
+
+
 def mean(v: Column) -> Column:
     """Aggregate: mean that doesn't overflow where the sum does."""
     return F.when(F.abs(F.sum(v)) == inf(), F.when(F.max(F.abs(v)) == inf(), F.avg(v)).otherwise(F.avg(v / 2.0**20) * 2.0**20)).otherwise(F.avg(v))

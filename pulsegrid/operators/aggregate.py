@@ -13,7 +13,7 @@ from ..lang.nodes import NAME
 from .ranges import ranked
 
 _PLAIN = {
-    "sum": lambda: F.sum("v"),
+    "sum": lambda: N.total(F.col("v")),
     "avg": lambda: N.mean(F.col("v")),
     "min": lambda: N.least_of(F.col("v")),
     "max": lambda: N.greatest_of(F.col("v")),

@@ -76,17 +76,32 @@ def sets(op: str, a: Vector, b: Vector, match: Match) -> Vector:
     return Vector(a.aligned(labels, hist).unionByName(rest.aligned(labels, hist)), labels, hist, unique, False)
 
 
-def _single(df: DataFrame, on: list[str], cols: list[str], other: DataFrame, sure: bool, what: str) -> DataFrame:
-    """One row a key and step; more than one fails where the other side has data at the step."""
+def _single(df: DataFrame, on: list[str], cols: list[str], other: DataFrame, sure: bool, what: str, side: str = "") -> DataFrame:
+    """One row a key and step; more than one fails where the other side has data at the step.
+
+    With a side (left or right) the message names the group and two of its series.
+    """
     if sure:
         return df.withColumn("__n", F.lit(1))
     steps = other.select("step").distinct()
     seen = df.join(steps, "step", "left_semi")
-    return seen.groupBy(*[f"`{c}`" for c in on]).agg(F.count(F.lit(1)).alias("__n"), *[F.first(f"`{c}`").alias(c) for c in cols]).withColumn("__n", _once(F.col("__n"), what))
+    labels = [c for c in df.columns if c[1:2] == "_" and c[0] in "ab"] if side else []
+    one = F.struct(*[F.col(f"`{c}`") for c in labels])
+    ends = [F.min(one).alias("__first"), F.max(one).alias("__last")] if labels else []
+    out = seen.groupBy(*[f"`{c}`" for c in on]).agg(F.count(F.lit(1)).alias("__n"), *ends, *[F.first(f"`{c}`").alias(c) for c in cols])
+    message = F.lit(f"PULSEGRID_MANY: {what}")
+    if labels:
+        group = _series([(c[2:], F.col(f"`{c}`")) for c in on if c != "step"])
+        two = [_series([(c[2:], F.col(x)[c]) for c in labels]) for x in ("__first", "__last")]
+        tail = F.lit("];many-to-many matching not allowed: matching labels must be unique on one side")
+        message = F.concat(F.lit("PULSEGRID_MANY: found duplicate series for the match group "), group, F.lit(f" on the {side} hand-side of the operation: ["), F.least(*two), F.lit(", "), F.greatest(*two), tail)
+    return out.withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(message).cast("long")).otherwise(F.col("__n"))).drop("__first", "__last")
 
 
-def _once(n: Column, what: str) -> Column:
-    return F.when(n > 1, F.raise_error(F.lit(f"PULSEGRID_MANY: {what}")).cast("long")).otherwise(n)
+def _series(labels: list[tuple[str, Column]]) -> Column:
+    """A series as text: its labels in order, without absent ones."""
+    parts = [F.when(v != "", F.concat(F.lit(f'{n}="'), v, F.lit('"'))) for n, v in sorted(labels, key=lambda x: x[0])]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts) if parts else F.lit(""), F.lit("}"))
 
 
 def vectors(op: str, a: Vector, b: Vector, match: Match, boolean: bool) -> Vector:
@@ -131,7 +146,7 @@ def _one_to_one(op: str, a: Vector, b: Vector, match: Match, boolean: bool) -> V
     keeps_name = op in COMPARISONS and not boolean and not match.on
     extra = [f"a_{n}" for n in a.labels if keeps_name and n == NAME]
     left = _single(left, on, [*(f"a{c}" for c in a.value), *extra], right, _covers(a, key), "multiple matches for labels: many-to-one matching must be explicit (group_left/group_right)")
-    right = _single(right, on, [f"b{c}" for c in b.value], left, _covers(b, key), "found duplicate series for the match group on the right hand-side of the operation")
+    right = _single(right, on, [f"b{c}" for c in b.value], left, _covers(b, key), "", "right")
     # Where a side was grouped, its count is read so that the check isn't pruned away.
     joined = left.withColumnRenamed("__n", "__na").join(right.withColumnRenamed("__n", "__nb"), on).filter("__na = 1 AND __nb = 1")
     df, hist = _combine(op, boolean, joined, a, b)
@@ -151,7 +166,7 @@ def _many_to_one(op: str, a: Vector, b: Vector, match: Match, boolean: bool, swa
     left, right = _keyed(a, key, "a"), _keyed(b, key, "b")
     take = [f"b_{n}" for n in match.include if n in b.labels]
     side = "left" if swapped else "right"
-    right = _single(right, on, [*(f"b{c}" for c in b.value), *take], left, _covers(b, key), f"found duplicate series for the match group on the {side} hand-side of the operation")
+    right = _single(right, on, [*(f"b{c}" for c in b.value), *take], left, _covers(b, key), "", side)
     joined = left.join(right.withColumnRenamed("__n", "__nb"), on).filter("__nb = 1")
     if swapped:
         # Operands stand in the order written: the one side is on the left. A filter keeps the left value.

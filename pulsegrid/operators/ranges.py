@@ -45,7 +45,9 @@ def _state() -> dict[str, tuple[Column, Column]]:
     """
     return {
         "n": (F.lit(1).cast("long"), F.sum("n")),
-        "s": (F.col("v"), F.sum("s")),
+        "s0": (N.pieces(F.col("v"))[0], F.sum("s0")),
+        "s1": (N.pieces(F.col("v"))[1], F.sum("s1")),
+        "s2": (N.pieces(F.col("v"))[2], F.sum("s2")),
         "lo": (F.col("v"), F.min("lo")),
         "hi": (N.not_nan(F.col("v")), F.max("hi")),
         "first_t": (F.col("t"), F.min("first_t")),
@@ -63,7 +65,7 @@ _ENDS = ("n", "first_t", "first_v", "first_c", "last_t", "last_v", "last_c")
 
 #: Functions of mergeable state: columns they need, and their value from them.
 _SIMPLE = {
-    "sum_over_time": (("s",), lambda: F.col("s")),
+    "sum_over_time": (("s0", "s1", "s2"), lambda: F.col("s0") + (F.col("s1") + F.col("s2"))),
     "count_over_time": (("n",), lambda: F.col("n").cast("double")),
     "min_over_time": (("lo",), lambda: F.col("lo")),
     "max_over_time": (("hi",), lambda: F.coalesce(F.col("hi"), N.nan())),

@@ -413,6 +413,34 @@ def test_counts_of_stored_histograms_read_no_buckets(spark, native, tmp_path):
         assert got and all(close(got[k][0][1], whole[k][0][1]) for k in got)
 
 
+def test_sums_keep_small_values_beside_large_ones(spark):
+    source = load_script(spark, """load 30s
+ big{s="a"} 1e16 1 -1e16 0.25
+ big{s="b"} 1 1 1 1
+ big{s="c"} -1e16 3 1e16 Inf
+""")
+    e = MetricsEngine(spark, source)
+    assert one(e.instant('sum_over_time(big{s="a"}[2m])', 90_000)) == 1.25
+    assert one(e.instant("sum(big)", 0)) == 1 and one(e.instant("sum(big)", 30_000)) == 5 and one(e.instant("sum(big)", 60_000)) == 1
+    assert one(e.instant("sum(big)", 90_000)) == math.inf
+
+
+def test_many_to_many_names_both_series(spark):
+    source = load_script(spark, """load 30s
+ many{k="x",s="1"} 1
+ one{k="x",z="p"} 2
+ one{k="x",z="b"} 3
+""")
+    e = MetricsEngine(spark, source)
+    told = r'group \{k="x"\} on the %s hand-side of the operation: \[\{__name__="one", k="x", z="b"\}, \{__name__="one", k="x", z="p"\}\];many-to-many'
+    with pytest.raises(ManyToMany, match=told % "right"):
+        e.instant("many * on (k) one", 0).series()
+    with pytest.raises(ManyToMany, match=told % "right"):
+        e.instant("many * on (k) group_left (z) one", 0).series()
+    with pytest.raises(ManyToMany, match=told % "left"):
+        e.instant("one * on (k) group_right (z) many", 0).series()
+
+
 def test_operators_are_named_by_what_they_compute(spark, mixed):
     e = MetricsEngine(spark, mixed[0])
     a, b, c = (e.range(q, 0, 60_000, 30_000).operators() for q in ("sum(gauge) / 2", "sum( gauge )/2", "sum(limits) / 2"))
