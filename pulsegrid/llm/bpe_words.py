@@ -37,7 +37,7 @@ from .common import Workspace, fragment_count, open_fs, pack, pack_ints, pack_so
 from .wordbpe import default_vocabulary, encoder
 
 #: Words and distinct words after which a page is closed; they bound a worker's memory.
-PAGE_WORDS, PAGE_DISTINCT = 4_000_000, 220_000
+PAGE_WORDS, PAGE_DISTINCT = 2_000_000, 110_000
 #: Words after which the texts of a page are written as one row.
 CHUNK_WORDS = 100_000
 

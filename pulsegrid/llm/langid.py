@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Workspace, read_bytes, small_batches, write_atomically
+from .common import Workspace, read_bytes, small_batches, trim, write_atomically
 
 #: Dimensions, letters in an n-gram, characters worked on at once, n-gram vectors kept.
-DIMS, GRAM, SLICE_CHARS, CACHE_GRAMS = 1024, 3, 400_000, 32_768
+DIMS, GRAM, SLICE_CHARS, CACHE_GRAMS = 1024, 3, 400_000, 16_384
 #: Texts in a slice, at most; languages in a file of prototypes; files that a worker keeps;
 #: languages that a task sums before it hands them on.
 SLICE_TEXTS, BLOCK_LANGS, KEPT_BLOCKS, HELD_LANGS = 128, 512, 2, 512
@@ -190,6 +190,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
                     sums = {}
         if sums:
             yield close()
+        trim()
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(lang_col).alias("lang")).mapInArrow(run, "lang string, vector array<double>")
     total = rows.select("lang", F.posexplode("vector").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x"))
@@ -266,6 +267,7 @@ def predict(docs: DataFrame, prototypes: Prototypes, id_col: str = "doc_id", tex
             settle(0)
             cols = [batch.column(0).cast(arrow.field(0).type), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols + ([batch.column(2).cast(arrow.field(3).type)] if extra else []), schema=arrow)
+        trim()
 
     return source.mapInArrow(run, out)
 
