@@ -322,6 +322,9 @@ class _Verifier:
         right = rest.select(F.col("id").alias("b"), "part", F.col("live").alias("vb"))
         rows = left.join(small_side(pairs), "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", "got", "va", "vb")
         partial = rows.mapInArrow(_overlaps, "a long, b long, na long, nb long, got long, partial long")
+        if done:
+            # A pair whose n-grams are all in the parts counted before has no row in the others.
+            partial = partial.unionByName(pairs.select("a", "b", "na", "nb", "got", F.lit(0).cast("long").alias("partial")))
         total = partial.groupBy("a", "b", "na", "nb", "got").agg(F.sum("partial").alias("more")).withColumn("overlap", F.col("got") + F.col("more"))
         good = total.filter(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * self.percent)
         good = self.ws.table(good.select("a", "b", "overlap"), f"links-{self.rounds}")

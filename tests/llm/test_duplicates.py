@@ -151,6 +151,16 @@ def test_jaccard_join_where_no_hub_fits(spark, tmp_path):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("every_link", [False, True])
+def test_staged_overlaps_of_short_texts(spark, tmp_path, monkeypatch, every_link):
+    """Ten common n-grams often leave the last vertical parts empty; counted part by part, such pairs still link."""
+    monkeypatch.setattr(ngramjoin, "STAGED", 0)
+    rows = [(2 * i + j, " ".join(f"s{i}x{k}" for k in range(13 - j)), None, None) for i in range(150) for j in (0, 1)]
+    found = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d"), every_link=every_link)
+    assert {(r.a, r.b, r.overlap) for r in found.links.collect()} == {(2 * i, 2 * i + 1, 10) for i in range(150)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.documents.collect()} == {2 * i + j: (11 - j, 2 * i) for i in range(150) for j in (0, 1)}
+
+
 def test_jaccard_join_odd_rows(spark, tmp_path):
     rows = documents()
     got = ngramjoin.jaccard_join(frame(spark, rows, tmp_path / "d")).documents.collect()
