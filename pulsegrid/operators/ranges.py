@@ -41,7 +41,9 @@ class Ranged:
 def _state() -> dict[str, tuple[Column, Column]]:
     """State of a bucket of samples: column -> (of one sample, merged).
 
-    Fixed-width columns, not structs: so Spark aggregates by hash, without a sort.
+    Fixed-width columns, not structs: so Spark aggregates by hash, without a sort. Column e
+    is the time of a sample that can be a window's first or last: of several at one time
+    the first stands for all, and the others (null) are only counted.
     """
     return {
         "n": (F.lit(1).cast("long"), F.sum("n")),
@@ -50,12 +52,14 @@ def _state() -> dict[str, tuple[Column, Column]]:
         "s2": (N.pieces(F.col("v"))[2], F.sum("s2")),
         "lo": (F.col("v"), F.min("lo")),
         "hi": (N.not_nan(F.col("v")), F.max("hi")),
-        "first_t": (F.col("t"), F.min("first_t")),
+        "first_t": (F.col("e"), F.min("first_t")),
         "first_v": (F.col("v"), F.min_by("first_v", "first_t")),
         "first_c": (F.col("c"), F.min_by("first_c", "first_t")),
-        "last_t": (F.col("t"), F.max("last_t")),
+        "last_t": (F.col("e"), F.max("last_t")),
         "last_v": (F.col("v"), F.max_by("last_v", "last_t")),
         "last_c": (F.col("c"), F.max_by("last_c", "last_t")),
+        "least_c": (F.col("c"), F.min("least_c")),
+        "most_c": (F.col("c"), F.max("most_c")),
         "top": (F.when(~F.isnan("v"), F.struct(F.col("v"), F.col("t"))), F.max("top")),
         "low": (F.when(~F.isnan("v"), F.struct((-F.col("v")).alias("v"), F.col("t"))), F.max("low")),
     }
@@ -76,8 +80,8 @@ _SIMPLE = {
     "ts_of_last_over_time": (("last_t",), lambda: F.col("last_t") / 1000.0),
     "ts_of_max_over_time": (("top", "last_t"), lambda: F.coalesce(F.col("top.t"), F.col("last_t")) / 1000.0),
     "ts_of_min_over_time": (("low", "last_t"), lambda: F.coalesce(F.col("low.t"), F.col("last_t")) / 1000.0),
-    "changes": (("first_t", "first_c", "last_t", "last_c"), lambda: (F.col("last_c") - F.col("first_c")).cast("double")),
-    "resets": (("first_t", "first_c", "last_t", "last_c"), lambda: (F.col("last_c") - F.col("first_c")).cast("double")),
+    "changes": (("least_c", "most_c"), lambda: (F.col("most_c") - F.col("least_c")).cast("double")),
+    "resets": (("least_c", "most_c"), lambda: (F.col("most_c") - F.col("least_c")).cast("double")),
     "rate": (_ENDS, None),
     "increase": (_ENDS, None),
     "delta": (_ENDS, None),
@@ -113,7 +117,10 @@ def extrapolated(fn: str, width: int, offset: int) -> tuple[Column, Column]:
 def _mergeable(fn: str, r: Ranged, grid: Grid) -> DataFrame:
     needs, value = _SIMPLE[fn]
     labels = [col(x) for x in r.labels]
-    df = accumulated(r.df, labels, _RUNNING[fn], "c", r.chunk) if fn in _RUNNING else r.df.withColumn("c", F.lit(0))
+    if fn in _RUNNING:
+        df = accumulated(r.df, labels, _RUNNING[fn], "c", r.chunk, again="__again").withColumn("e", F.when(~F.col("__again"), F.col("t")))
+    else:
+        df = r.df.withColumns({"c": F.lit(0), "e": F.col("t")})
     size = grain(grid, r.width)
     parts = _state()
     merge = [parts[k][1].alias(k) for k in needs]

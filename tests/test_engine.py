@@ -14,7 +14,7 @@ from pulsegrid.lang.nodes import Matcher, Select, UserNode
 from pulsegrid.lang.parser import parse
 from pulsegrid.options import Options
 from pulsegrid.plans import rules as R
-from pulsegrid.sources.series import load_script
+from pulsegrid.sources.series import from_table, load_script
 
 from .oracle import Failure, Oracle
 
@@ -124,6 +124,18 @@ def test_random_queries_against_oracle(spark, mixed):
         same(MetricsEngine(spark, source).range(query, 30_000, 600_000, 60_000).series(), want)
 
 
+@pytest.mark.parametrize("chunk", [0, 4_000])
+def test_samples_of_one_time_are_no_resets(spark, chunk):
+    """Three samples each second, stored by falling value: a counter rises among them, and the first stands for its time."""
+    rows = [(1000 * (i // 3), float(i)) for i in reversed(range(30))]
+    df = spark.createDataFrame(rows, "t long, v double").coalesce(1)
+    engine = MetricsEngine(spark, from_table(df, "n_total", {}, "t", "v"), Options(series_chunk=chunk))
+    want = {"resets(n_total[5s])": 0, "changes(n_total[5s])": 14, "increase(n_total[5s])": 12 * (4 + 2 / 14) / 4, "rate(n_total[5s])": 12 * (4 + 2 / 14) / 4 / 5}
+    for query, value in want.items():
+        ((points),) = engine.range(query, 9000, 9000, 1000).series().values()
+        assert points == [(9000, pytest.approx(value))], query
+
+
 GOLDEN_RANGE = [
     ("load 30s\n bar 0 1 10 100 1000", "sum_over_time(bar[30s])", 120, 60, [0, 10, 1000]),
     ("load 30s\n bar 0 1 10 100 1000", "sum_over_time(bar[45s])", 120, 60, [0, 11, 1100]),
