@@ -52,6 +52,15 @@ def _keyed(x: Vector, key: tuple[str, ...], prefix: str) -> DataFrame:
     return x.df.select(*keys, "step", *[ref(n).alias(f"{prefix}_{n}") for n in x.labels], *[F.col(c).alias(f"{prefix}{c}") for c in x.value])
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two vectors, always by shuffle.
+
+    A vector's rows are made by copying samples to steps, which Spark's estimate from file
+    sizes doesn't see: it would broadcast, and first gather on the driver, a side of any size.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _on(key: tuple[str, ...]) -> list[str]:
     return [*[f"k_{n}" for n in key], "step"]
 
@@ -63,8 +72,8 @@ def sets(op: str, a: Vector, b: Vector, match: Match) -> Vector:
     left, right = _keyed(a, key, "a"), _keyed(b, key, "b")
     back = lambda df, x, p: replace(x, df=df.select(*[F.col(f"`{p}_{n}`").alias(col(n)) for n in x.labels], "step", *[F.col(f"{p}{c}").alias(c) for c in x.value]))
     if op in ("and", "unless"):
-        return back(left.join(right.select(*[f"`{c}`" for c in on]), on, "left_semi" if op == "and" else "left_anti"), a, "a")
-    rest = back(right.join(left.select(*[f"`{c}`" for c in on]), on, "left_anti"), b, "b")
+        return back(_joined(left, right.select(*[f"`{c}`" for c in on]), on, "left_semi" if op == "and" else "left_anti"), a, "a")
+    rest = back(_joined(right, left.select(*[f"`{c}`" for c in on]), on, "left_anti"), b, "b")
     labels = tuple(sorted({*a.labels, *b.labels}))
     hist = a.hist or b.hist
     if hist:
@@ -148,7 +157,7 @@ def _one_to_one(op: str, a: Vector, b: Vector, match: Match, boolean: bool) -> V
     left = _single(left, on, [*(f"a{c}" for c in a.value), *extra], right, _covers(a, key), "multiple matches for labels: many-to-one matching must be explicit (group_left/group_right)")
     right = _single(right, on, [f"b{c}" for c in b.value], left, _covers(b, key), "", "right")
     # Where a side was grouped, its count is read so that the check isn't pruned away.
-    joined = left.withColumnRenamed("__n", "__na").join(right.withColumnRenamed("__n", "__nb"), on).filter("__na = 1 AND __nb = 1")
+    joined = _joined(left.withColumnRenamed("__n", "__na"), right.withColumnRenamed("__n", "__nb"), on).filter("__na = 1 AND __nb = 1")
     df, hist = _combine(op, boolean, joined, a, b)
     labels = [(n, F.col(f"`k_{n}`")) for n in key]
     if extra:
@@ -167,7 +176,7 @@ def _many_to_one(op: str, a: Vector, b: Vector, match: Match, boolean: bool, swa
     take = [f"b_{n}" for n in match.include if n in b.labels]
     side = "left" if swapped else "right"
     right = _single(right, on, [*(f"b{c}" for c in b.value), *take], left, _covers(b, key), "", side)
-    joined = left.join(right.withColumnRenamed("__n", "__nb"), on).filter("__nb = 1")
+    joined = _joined(left, right.withColumnRenamed("__n", "__nb"), on).filter("__nb = 1")
     if swapped:
         # Operands stand in the order written: the one side is on the left. A filter keeps the left value.
         names = [*(f"a{c}" for c in a.value), *(f"b{c}" for c in b.value)]

@@ -88,6 +88,15 @@ def test_range_against_oracle(spark, mixed, query, lookback):
     same(got, want)
 
 
+@pytest.mark.parametrize("query", ["requests_total / on (pod) group_left () limits", "limits * on (pod) group_right () requests_total", "gauge + gauge", "gauge and on (pod) limits", "gauge unless on (pod) limits", "limits or on (pod) requests_total"])
+def test_matched_vectors_are_not_gathered_on_the_driver(spark, mixed, query):
+    """Tables this small would be broadcast, though what is made of them may be large."""
+    plan = MetricsEngine(spark, mixed[0]).range(query, 0, 900_000, 45_000).df._jdf.queryExecution().executedPlan().toString()
+    # The steps of a side (one row a step at most) may be.
+    assert any(f"SortMergeJoin [{side}_" in plan for side in "kl")
+    assert not any(f"BroadcastHashJoin [{side}_" in plan for side in "kl")
+
+
 def test_random_queries_against_oracle(spark, mixed):
     """Seeded; operators whose answer depends on ties or on number formatting are left out."""
     source, data = mixed
