@@ -143,6 +143,18 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and give free heap back.
+
+    A JVM keeps the heap that an earlier stage made it take, and direct buffers whose
+    owners are dead, until a full collection; Python workers share the executor's limit.
+    There are as many tasks as cores, so each idle executor gets one; one that is busy
+    or comes later may not be reached, and keeps its memory.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 _Z = zstandard.ZstdCompressor(level=3)
 _D = zstandard.ZstdDecompressor()
 

@@ -111,7 +111,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     starts = ws.table(starts.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("starts")), "starts")
 
     # The shingles after each start, as far as the longest item reaches; texts once each.
-    sizes = [r.m for r in items.select("m").distinct().orderBy("m").collect()]
+    wanted = ws.table(items.select("m").distinct(), "sizes")  # not from Python: its rows would go through workers
+    sizes = sorted(r.m for r in wanted.collect())
     longest = sizes[-1] if sizes else 1
     width = 16 if longest < 1 << 16 else 32
     again = docs.select(F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.col(text_col).alias("text"))
@@ -126,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     run = Window.partitionBy("k1", "k2", "start").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     lanes = [F.sum(lane(F.col("h"), b, width)).over(run).alias(f"s{b}") for b in range(width)]
     sums = lambda rows: rows.select("k1", "k2", "n", "last", "start", (F.col("off") + 1).alias("len"), *lanes)
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in sizes], "m int"))
+    wanted = F.broadcast(wanted)
     full = sums(spread).join(wanted, F.col("len") == F.col("m")).filter((F.col("start") != TAIL) | (F.col("last") + F.col("m") > F.col("n")))
     short = sums(spread.filter((F.col("start") == TAIL) & (F.col("n") < longest))).filter(F.col("len") == F.col("n"))
     short = short.join(wanted, (F.col("m") > F.col("len")) & (F.col("len") / F.col("m") >= threshold))

@@ -351,3 +351,15 @@ def test_archive_query(spark, tmp_path):
         assert r.leaf_hash in [hashlib.sha256(b"\x00" + struct.pack("<QQ", r.start, r.start + r.length) + data).hexdigest() for data in mine]
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
     assert warc.query(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_decontamination_sends_no_rows_through_python_workers(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = frame(spark, [(1, text, None, "s"), (2, "other words", None, "s")], tmp_path / "d.parquet", extra=False)
+    items = spark.createDataFrame([(7, text), (8, "few words")], "item_id long, text string")
+
+    def fail(*a, **k):
+        raise AssertionError("rows from Python are read by a worker of their own in every executor")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", fail)
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontam.contaminated(docs, items).collect()] == [(1, 7, 1.0)]

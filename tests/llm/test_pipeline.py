@@ -94,3 +94,18 @@ def test_pipeline_over_empty_tables(spark, tmp_path, items):
     frame(spark, [], tmp_path / "documents.parquet", extra=False).withColumn("n_chars", F.lit(0).cast("long")).write.parquet(str(tmp_path / "d" / "documents.parquet"))
     spark.createDataFrame([(1, "a b c d e f g")] if items else [], "item_id long, text string").write.parquet(str(tmp_path / "d" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "d")).count() == 0
+
+
+def test_stages_begin_by_giving_memory_back(spark, tmp_path, monkeypatch):
+    docs = frame(spark, corpus()[0][:12], tmp_path / "documents.parquet", extra=False).withColumn("n_chars", F.lit(0).cast("long"))
+
+    class Called(Exception):
+        pass
+
+    def called(_):
+        raise Called
+
+    monkeypatch.setattr(corpus_pipeline, "give_back", called)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Called):
+            stage(spark, docs, str(tmp_path))
