@@ -45,14 +45,14 @@ def previous(df: DataFrame, keys: list[str], columns: dict[str, str], chunk: int
     return df.drop(_PART, "__first", *[f"__{x}_{new}" for new in columns for x in "el"])
 
 
-def next_time(df: DataFrame, keys: list[str], new: str, chunk: int = 0, time: str = "t") -> DataFrame:
+def next_time(df: DataFrame, keys: list[str], new: str, chunk: int = 0, time: str = "t", then: tuple[Column, ...] = ()) -> DataFrame:
     """Time of the sample after; null at a series' last."""
     if not chunk:
-        return df.withColumn(new, F.lead(time).over(W.partitionBy(*keys).orderBy(time)))
+        return df.withColumn(new, F.lead(time).over(W.partitionBy(*keys).orderBy(time, *then)))
     df = _parted(df, chunk, time)
     heads = df.groupBy(*keys, _PART).agg(F.min(time).alias("__head"))
     heads = heads.select(*_quoted(keys), _PART, F.lead("__head").over(W.partitionBy(*keys).orderBy(_PART)).alias("__head"))
-    df = df.withColumn(new, F.lead(time).over(W.partitionBy(*keys, _PART).orderBy(time)))
+    df = df.withColumn(new, F.lead(time).over(W.partitionBy(*keys, _PART).orderBy(time, *then)))
     return _join(df, heads, keys).withColumn(new, F.coalesce(new, "__head")).drop(_PART, "__head")
 
 

@@ -37,7 +37,7 @@ def scan(source, select: Select, low: int, high: int, options: Options, held: li
         held.append(df.agg(F.count(F.lit(1)).alias("__n")))
         n = reduce(DataFrame.unionByName, held).agg((F.sum("__n") > options.max_samples).alias("__over"))
         df = df.crossJoin(F.broadcast(n)).filter(F.when(F.col("__over"), over.cast("boolean")).otherwise(F.lit(True))).drop("__over")
-    return Samples(df, found.labels, found.hist, found.stale, found.named)
+    return replace(found, df=df)
 
 
 def span(grid: Grid, at: int | None) -> Grid:
@@ -57,7 +57,11 @@ def without_buckets(h: Column) -> Column:
 
 
 def instant(source, select: Select, grid: Grid, options: Options, held: list[DataFrame]) -> Vector:
-    """For each series and step the newest sample in ``(step - offset - lookback, step - offset]``."""
+    """For each series and step the newest sample in ``(step - offset - lookback, step - offset]``.
+
+    Of several at one millisecond it is the first stored time's, and of those the least value,
+    so that all selectors of a query take the same.
+    """
     own = span(grid, select.at)
     width = options.lookback
     found = scan(source, select, own.start - select.offset - width, own.last - select.offset, options, held)
@@ -67,12 +71,15 @@ def instant(source, select: Select, grid: Grid, options: Options, held: list[Dat
     carried = ["v", *(["h"] if found.hist else []), *(["stale"] if found.stale else [])]
     if own.count > 1 and width > COPIES * own.step:
         # A sample holds from its own step until its successor's, or until it is too old.
-        df = next_time(found.df, labels, "__later", options.chunk(own.start - width, own.last))
+        falling = (*([F.col("fine").desc()] if found.fine else []), F.col("v").desc_nulls_first())
+        df = next_time(found.df, labels, "__later", options.chunk(own.start - width, own.last), then=falling)
         until = F.least(last_step(F.col("t"), own, select.offset, width), F.coalesce(first_step(F.col("__later"), own, select.offset) - 1, F.lit(own.count).cast("long")))
         df = spread(df, own, first_step(F.col("t"), own, select.offset), until)
         df = df.select(*[ref(x) for x in found.labels], "step", "t", *carried)
     else:
-        newest = [F.max("t").alias("__t"), *[F.max_by(c, "t").alias(c) for c in carried]]
+        # One long, not a struct: so Spark aggregates by hash.
+        order = F.col("t") * 1000 - F.col("fine") if found.fine else F.col("t")
+        newest = [F.max("t").alias("__t"), *[F.max_by(c, order).alias(c) for c in carried]]
         df = windows(found.df, own, width, select.offset).groupBy(*labels, "step").agg(*newest).withColumnRenamed("__t", "t")
     if found.stale:
         df = df.filter("NOT coalesce(stale, false)")

@@ -17,9 +17,10 @@ from ..lang.nodes import NAME, Matcher
 
 @dataclass(frozen=True)
 class Samples:
-    """Rows (l_<label>..., t, v[, h][, stale]): t in epoch ms, absent labels empty.
+    """Rows (l_<label>..., t, v[, h][, stale][, fine]): t in epoch ms, absent labels empty.
 
-    ``named``: every row has the same metric name.
+    ``named``: every row has the same metric name. Column fine: microseconds of the stored
+    time after t, where it is a timestamp.
     """
 
     df: DataFrame
@@ -27,6 +28,7 @@ class Samples:
     hist: bool = False
     stale: bool = False
     named: bool = False
+    fine: bool = False
 
 
 class SeriesSource(Protocol):
@@ -67,7 +69,7 @@ class FrameSource:
         self.df, self.name, self.bounds, self.stored = df, name, bounds, dict(stored or {})
         labels = [c[2:] for c in df.columns if c.startswith("l_")]
         self.labels = tuple(sorted({*labels, *([NAME] if name is not None else [])}))
-        self.hist, self.stale = "h" in df.columns, "stale" in df.columns
+        self.hist, self.stale, self.fine = "h" in df.columns, "stale" in df.columns, "fine" in df.columns
 
     def may_have(self, matchers: Iterable[Matcher]) -> bool:
         return self.name is None or all(admits(m, self.name) for m in matchers if m.label == NAME)
@@ -101,8 +103,8 @@ class FrameSource:
                 df = df.filter(F.lit(False))
         if self.name is not None:
             df = df.withColumn(col(NAME), F.lit(self.name))
-        extra = (["h"] if self.hist else []) + (["stale"] if self.stale else [])
-        return Samples(df.select(*[ref(x) for x in self.labels], "t", "v", *extra), self.labels, self.hist, self.stale, self.name is not None or fixed_name(matchers) is not None)
+        extra = [c for c, has in (("h", self.hist), ("stale", self.stale), ("fine", self.fine)) if has]
+        return Samples(df.select(*[ref(x) for x in self.labels], "t", "v", *extra), self.labels, self.hist, self.stale, self.name is not None or fixed_name(matchers) is not None, self.fine)
 
 
 class Catalog:
@@ -133,7 +135,7 @@ class Catalog:
 def merged(found: list[Samples]) -> Samples:
     """Rows of all, with the labels of any."""
     labels = tuple(sorted(set().union(*(s.labels for s in found))))
-    hist, stale = any(s.hist for s in found), any(s.stale for s in found)
+    hist, stale, fine = any(s.hist for s in found), any(s.stale for s in found), any(s.fine for s in found)
     kind = next((s.df.schema["h"].dataType for s in found if s.hist), None)
     out = None
     for s in found:
@@ -143,9 +145,11 @@ def merged(found: list[Samples]) -> Samples:
             cols.append(F.col("h") if s.hist else F.lit(None).cast(kind).alias("h"))
         if stale:
             cols.append(F.col("stale") if s.stale else F.lit(False).alias("stale"))
+        if fine:
+            cols.append(F.col("fine") if s.fine else F.lit(0).alias("fine"))
         df = s.df.select(*cols)
         out = df if out is None else out.unionByName(df)
-    return Samples(out, labels, hist, stale, False)
+    return Samples(out, labels, hist, stale, False, fine)
 
 
 def from_table(df: DataFrame, name: str | None, labels: Mapping[str, str | Column], time: str, value: str | Column, **extra: str | Column) -> FrameSource:
@@ -159,6 +163,8 @@ def from_table(df: DataFrame, name: str | None, labels: Mapping[str, str | Colum
     cols = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")).alias(col(x)) for x, c in labels.items()]
     v = F.col(value) if isinstance(value, str) else value
     more = [(F.col(c) if isinstance(c, str) else c).alias(x) for x, c in extra.items()]
+    if stamp and kind != "date":
+        more.append((F.unix_micros(F.col(time).cast("timestamp")) - t * 1000).cast("int").alias("fine"))
     stored = {x: f"__stored_{x}" for x, c in labels.items() if isinstance(c, str)}
     out = df.select(*cols, t.alias("t"), v.cast("double").alias("v"), *more, F.col(time).alias("__stored"), *[F.col(labels[x]).alias(c) for x, c in stored.items()])
 

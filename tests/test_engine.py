@@ -1,5 +1,6 @@
 """Golden values, and differential tests against the row-at-a-time oracle."""
 
+import datetime as dt
 import math
 import random
 
@@ -145,6 +146,23 @@ def test_samples_of_one_time_are_no_resets(spark, chunk):
         assert points == [(9000, pytest.approx(value))], query
 
 
+@pytest.mark.parametrize("chunk", [0, 4_000])
+@pytest.mark.parametrize("lookback", [2_000, 20_000])
+def test_newest_of_one_millisecond_is_the_first_stored(spark, chunk, lookback):
+    """Two samples a millisecond: every selector of a query takes the earlier microsecond's, or else the least value."""
+    at = dt.datetime(2024, 1, 1)
+    late, soon = at + dt.timedelta(microseconds=1900), at + dt.timedelta(microseconds=1100)
+    rows = [("a", soon, 5.0), ("a", late, 7.0), ("b", late, 5.0), ("b", soon, 7.0), ("c", soon, 9.0), ("c", late, 9.0)]
+    if lookback > 3_000:
+        rows += [("d", soon, 3.0), ("d", soon, 8.0), ("e", soon, 8.0), ("e", soon, 3.0)]
+    df = spark.createDataFrame(rows, "x string, ts timestamp_ntz, v double").coalesce(1)
+    engine = MetricsEngine(spark, from_table(df, "n", {"x": "x"}, "ts", "v"), Options(lookback=lookback, series_chunk=chunk))
+    start = 1_704_067_201_000
+    got = engine.range("n * 1 + n * 10", start, start + 1000, 1000).series()
+    want = {"a": 55.0, "b": 77.0, "c": 99.0, **({"d": 33.0, "e": 33.0} if lookback > 3_000 else {})}
+    assert {dict(k)["x"]: {v for _, v in points} for k, points in got.items()} == {k: {v} for k, v in want.items()}
+
+
 GOLDEN_RANGE = [
     ("load 30s\n bar 0 1 10 100 1000", "sum_over_time(bar[30s])", 120, 60, [0, 10, 1000]),
     ("load 30s\n bar 0 1 10 100 1000", "sum_over_time(bar[45s])", 120, 60, [0, 11, 1100]),
